@@ -22,7 +22,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     if large:
         joined = both.join(least, "a").withColumn("m", F.least("a", "m")).where("b > a")
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # repeated edges fold in the small star that follows
+        return joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     joined = both.join(least, "a")
     return joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

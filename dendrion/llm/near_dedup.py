@@ -234,7 +234,8 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     family = components(stars).select("node", F.col("component").alias("family"))
     dealt = _deal(family.join(nodes.select("node", "n_shingles", "least_id"), "node"))
     # one text for each node that has company; the same folding makes its set again
-    wanted = dealt.select(F.col("least_id").alias("w"), "node", "family", "block")
+    # grows with the corpus and is no candidate for a broadcast at any size
+    wanted = dealt.select(F.col("least_id").alias("w"), "node", "family", "block").hint("merge")
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select("node", "family", "block", "text")
     sets = written(texts.mapInArrow(_sets(words), "node binary, family binary, block long, shingles binary"), "near-sets")
     reclaim(docs.sparkSession)
