@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 #: White space beyond ASCII, separators that Python and the tokenizers class differently, or the start of a special string.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
 _RUNS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -53,7 +53,7 @@ class WordTokenizer:
         self.model = self.library.model
         # a file that drops white space and folds case (end-of-word merges), or one that keeps both
         self.drops_space = self.library.normalizer is not None
-        self.known: dict[str, bytes] = {}
+        self.known: dict = {}
         self.stems: dict[str, array] = {}
 
     def _piece(self, piece: str) -> array:
@@ -73,45 +73,48 @@ class WordTokenizer:
         ids = self.stems.get(letters)
         if ids is None:
             ids = self._piece(letters)
-            if len(self.stems) < CACHE_WORDS // 2:
+            if len(self.stems) < CACHE_WORDS // 3:
                 self.stems[letters] = ids
         return ids + self._piece(signs) if signs else ids
 
     def _words(self, text: str) -> list[str] | None:
-        if _UNUSUAL.search(text):
+        if text.isascii():
+            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                return None
+        elif _UNUSUAL.search(text):
             return None
         return text.split() if self.drops_space else _RUNS.findall(text)
 
+    def _known(self, words: list[str], value) -> list:
+        """What is known of each word; unknown words are encoded, and kept while there is room."""
+        known = self.known
+        out = list(map(known.get, words))
+        at = -1
+        while True:
+            try:
+                at = out.index(None, at + 1)
+            except ValueError:
+                return out
+            word = words[at]
+            got = known.get(word)
+            if got is None:
+                got = value(self._encode(word))
+                if len(known) < CACHE_WORDS:
+                    known[word] = got
+            out[at] = got
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         words = self._words(text)
         if words is None:
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known = self.known
-        out = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = self._encode(w).tobytes()
-                if len(known) < CACHE_WORDS:
-                    known[w] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(self._known(words, array.tobytes))
 
     def count(self, text: str) -> int:
         words = self._words(text)
         if words is None:
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        known = self.known
-        total = 0
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = len(self._encode(w))
-                if len(known) < CACHE_WORDS:
-                    known[w] = got
-            total += got
-        return total
+        return sum(self._known(words, len))
 
 
 @functools.cache
