@@ -112,22 +112,24 @@ def voxel_sizes(nodes: DataFrame, radius: str, max_voxels: float = 1e8) -> DataF
 def occupied_voxels(nodes: DataFrame, edges: DataFrame, radius: str, h: Column | float | None = None, box=None) -> DataFrame:
     """``skel_id, i, j, k, h``: voxels whose centre lies in a tapered edge.
 
-    The grid of a skeleton starts at its lower bounds; every edge proposes the voxels of its own
-    box along x and y, and one interval along z; centres are tested exactly, and ``distinct`` is
-    the union.
+    The grid of a skeleton starts at its lower bounds; every edge proposes voxels slice by slice
+    around the stretch of it that is within reach of the slice; centres are tested exactly, and
+    ``distinct`` is the union.
     """
     grid = voxel_sizes(nodes, radius).select("skel_id", "lo_x", "lo_y", "lo_z", "h")
     if h is not None:
         grid = grid.withColumn("h", h if isinstance(h, Column) else F.lit(float(h)))
-    e = with_ends(nodes, edges, radius).join(grid, "skel_id")
-    reach = F.greatest(f"a_{radius}", f"b_{radius}")
+    e = with_ends(nodes, edges, radius).join(grid, "skel_id").withColumns({"reach": F.greatest(f"a_{radius}", f"b_{radius}"), "t0": F.lit(0.0), "t1": F.lit(1.0)})
     for c, i in zip("xyz", "ijk", strict=True):
-        lo, hi = F.least(f"a{c}", f"b{c}") - reach, F.greatest(f"a{c}", f"b{c}") + reach
-        first = F.ceil((lo - F.col(f"lo_{c}")) / F.col("h") - 0.5).cast("long")
-        last = F.floor((hi - F.col(f"lo_{c}")) / F.col("h") - 0.5).cast("long")
-        e = e.withColumn(i, F.when(first <= last, F.sequence(first, last)))
-    for i in "ijk":
-        e = e.where(F.col(i).isNotNull()).withColumn(i, F.explode(i))
+        # only the stretch of the edge that slices chosen so far leave within reach
+        d = F.col(f"b{c}") - F.col(f"a{c}")
+        p, q = F.col(f"a{c}") + F.col("t0") * d, F.col(f"a{c}") + F.col("t1") * d
+        first = F.ceil((F.least(p, q) - F.col("reach") - F.col(f"lo_{c}")) / F.col("h") - 0.5).cast("long")
+        last = F.floor((F.greatest(p, q) + F.col("reach") - F.col(f"lo_{c}")) / F.col("h") - 0.5).cast("long")
+        e = e.withColumn(i, F.when(first <= last, F.sequence(first, last))).where(F.col(i).isNotNull()).withColumn(i, F.explode(i))
+        at = F.col(f"lo_{c}") + (F.col(i) + 0.5) * F.col("h") - F.col(f"a{c}")
+        near, far = (at - F.col("reach")) / d, (at + F.col("reach")) / d
+        e = e.withColumns({"t0": F.when(d == 0, F.col("t0")).otherwise(F.greatest(F.col("t0"), F.least(near, far))), "t1": F.when(d == 0, F.col("t1")).otherwise(F.least(F.col("t1"), F.greatest(near, far)))}).where("t0 <= t1")
     center = tuple(F.col(f"lo_{c}") + (F.col(i) + 0.5) * F.col("h") for c, i in zip("xyz", "ijk", strict=True))
     inside = g.point_capsule_distance(center, g.vector("a"), g.vector("b"), F.col(f"a_{radius}"), F.col(f"b_{radius}")) <= 0
     e = e.where(inside)
