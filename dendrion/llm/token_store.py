@@ -104,7 +104,7 @@ def write_store(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     # a few times as many as are needed, however many tasks look for them
     short = rows.where(F.octet_length("text") <= budget).select("text", order.alias("h"))
     share = min(1.0, 4 * TRAIN_DOCS / max(1, short.count()))
-    sample = short.where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)))).orderBy("h", "text").limit(TRAIN_DOCS).select("text")
+    sample = short.where(F.col("h") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))).orderBy("h", "text").limit(TRAIN_DOCS).select("text")
     dictionary = _train(sample, tokenizer_path, end_id)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
     ranged = rows.withColumn("h", order).repartitionByRange(partitions(spark), F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
