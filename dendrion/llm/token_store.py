@@ -36,7 +36,7 @@ from .tokenizer import tokenizer
 TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 400, 2 << 20, 64 << 10
 #: Compressed bytes after which a pack is closed.
 PACK_BYTES = 1 << 20
-LEVEL = 3
+LEVEL = 1
 _PACK = pa.schema([("range", pa.int32()), ("pack", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("dictionary", pa.string()), ("offsets", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())])
 _PACK_SQL = "range int, pack int, first_id long, last_id long, dictionary string, offsets array<long>, doc_ids array<long>, counts array<long>, payload binary"
 
@@ -74,7 +74,7 @@ def _pack(tokenizer_path: str, end_id: int, dictionary: bytes):
             row = [part, pack, min(known, default=None), max(known, default=None), name, ends.tolist(), ids, counts, b"".join(frames)]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _PACK, strict=True)], schema=_PACK)
 
-        for b in batches:
+        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = tok.ids(text or "") + end
                 frames.append(compress(raw))
@@ -103,7 +103,7 @@ def write_store(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     # whole short texts: what is short gains most from the dictionary.  A threshold on the hash passes
     # a few times as many as are needed, however many tasks look for them
     short = rows.where(F.octet_length("text") <= budget).select("text", order.alias("h"))
-    share = min(1.0, 4 * TRAIN_DOCS / max(1, short.count()))
+    share = min(1.0, 8 * TRAIN_DOCS / max(1, docs.count()))
     sample = short.where(F.col("h") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))).orderBy("h", "text").limit(TRAIN_DOCS).select("text")
     dictionary = _train(sample, tokenizer_path, end_id)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
@@ -124,7 +124,7 @@ def _load_dictionary(spark: SparkSession, path: str) -> bytes:
     return dictionary
 
 
-def _unpack(dictionary: bytes):
+def _unpack(dictionary: bytes, with_ids: bool):
     name = hashlib.sha256(dictionary).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +135,15 @@ def _unpack(dictionary: bytes):
                     raise ValueError(f"pack {p['range']}/{p['pack']} was written with dictionary {p['dictionary']}")
                 raw = [decompress(p["payload"][a:z]) for a, z in zip(p["offsets"], p["offsets"][1:], strict=False)]
                 starts = p["tokens_before"] + np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])[:-1]])
-                yield pa.record_batch([pa.array(p["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["id", "start", "n_tokens", "ids_crc32", "ids"])
+                out = [pa.array(p["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                names = ["id", "start", "n_tokens", "ids_crc32"]
+                yield pa.record_batch([*out, pa.array(raw, pa.binary())] if with_ids else out, names=[*names, "ids"] if with_ids else names)
 
     return run
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """``id, start, n_tokens, ids_crc32, ids`` of every document in the store, decoded from its frames; ids are binary."""
+def read_store(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
+    """``id, start, n_tokens, ids_crc32`` and, unless left out, ``ids`` (binary) of every document, decoded from its frames."""
     dictionary = _load_dictionary(spark, path)
     packs = spark.read.schema(_PACK_SQL).parquet(f"{path}/packs")
     starts = spark.read.schema("range int, tokens_before long, docs_before long").parquet(f"{path}/starts")
@@ -150,7 +152,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     # payloads stay out of the window: only a row of numbers per pack is sorted
     offsets = packs.select("range", "pack", tokens.alias("t")).withColumn("in_range", F.coalesce(F.sum("t").over(before), F.lit(0))).join(starts, "range").select("range", "pack", (F.col("in_range") + F.col("tokens_before")).alias("tokens_before"))
     placed = packs.join(offsets, ["range", "pack"])
-    return placed.mapInArrow(_unpack(dictionary), "id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(_unpack(dictionary, with_ids), "id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
@@ -163,8 +165,8 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarra
     return [np.frombuffer(_codec(dictionary)[1].decompress(bytes(r["frame"])), "<u4") for r in rows]
 
 
-def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """Write the store to the shared scratch folder and read it back."""
+def round_trip(docs: DataFrame, *, with_ids: bool = False, **options) -> DataFrame:
+    """Write the store to the shared scratch folder and read it back; what is returned is decoded from the files."""
     path = new_scratch(docs.sparkSession, "token-store")
     write_store(docs, path, **options)
-    return read_store(docs.sparkSession, path)
+    return read_store(docs.sparkSession, path, with_ids=with_ids)
