@@ -16,9 +16,11 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: White space beyond ASCII, separators that Python and the tokenizers class differently, or the start of a special string.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
+#: A stop or comma right behind another sign: the two are one piece and must not be cut apart.
+_IN_RUN = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,])")
 _RUNS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: A word of letters that fold and compose to themselves in every Unicode version (Latin, without the dotted capital I), then other ASCII signs but apostrophes.
 _PLAIN = re.compile(r"""( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!"#$%&(-/:-@[-`{-~]*)""")
@@ -78,12 +80,27 @@ class WordTokenizer:
         return ids + self._piece(signs) if signs else ids
 
     def _words(self, text: str) -> list[str] | None:
-        if text.isascii():
+        latin = text.isascii()
+        if latin:
             if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 return None
         elif _UNUSUAL.search(text):
             return None
-        return text.split() if self.drops_space else _RUNS.findall(text)
+        if not self.drops_space:
+            return _RUNS.findall(text)
+        if not latin:
+            try:
+                text.encode("latin-1")
+                latin = True
+            except UnicodeEncodeError:
+                pass
+        if latin:
+            # the tokenizer folds case itself, and Latin-1 letters fold one to one; a stop or comma
+            # that no other sign precedes or follows is a piece of its own with or without a blank
+            text = text.lower()
+            if not _IN_RUN.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+        return text.split()
 
     def _known(self, words: list[str], value) -> list:
         """What is known of each word; unknown words are encoded, and kept while there is room."""
