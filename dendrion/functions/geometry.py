@@ -96,14 +96,17 @@ def in_box(p: Vector, lo: tuple[float, float, float], hi: tuple[float, float, fl
 
 
 def parse_box(box) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
-    """(lo, hi) from six numbers (all minima first) or from two triples."""
-    flat = [float(v) for part in box for v in (part if hasattr(part, "__len__") else (part,))]
-    if len(flat) != 6:
-        raise ValueError("a box has six numbers")
-    lo, hi = tuple(flat[:3]), tuple(flat[3:])
+    """(lo, hi) from (xmin, xmax, ymin, ymax, zmin, zmax) or from two triples."""
+    parts = list(box)
+    if len(parts) == 2:
+        lo, hi = (tuple(map(float, p)) for p in parts)
+    else:
+        lo, hi = tuple(map(float, parts[0::2])), tuple(map(float, parts[1::2]))
+    if len(lo) != 3 or len(hi) != 3:
+        raise ValueError("a box is (xmin, xmax, ymin, ymax, zmin, zmax) or two triples")
     if any(a > b for a, b in zip(lo, hi, strict=True)):
         raise ValueError("a box needs lo <= hi on each axis")
-    return lo, hi  # type: ignore[return-value]
+    return lo, hi
 
 
 def cap_cosine(d: Column, r: Column, s: Column) -> Column:

@@ -14,7 +14,7 @@ from ..kernels import tree
 from ..operators import contacts, edit, graph, measures, mesh
 from .views import ctes, view
 
-BOX = [20, 10, 10, 60, 100, 80]
+BOX = [20, 60, 10, 100, 10, 80]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -66,7 +66,7 @@ def _slab(axis: str, lo: float, hi: float) -> str:
     return f"CASE WHEN {a} = {b} THEN CASE WHEN {a} BETWEEN {lo} AND {hi} THEN 0 ELSE 2 END ELSE least(({lo}-{a})/({b}-{a}), ({hi}-{a})/({b}-{a})) END", f"CASE WHEN {a} = {b} THEN 1 ELSE greatest(({lo}-{a})/({b}-{a}), ({hi}-{a})/({b}-{a})) END"
 
 
-_S = [_slab(c, BOX[i], BOX[i + 3]) for i, c in enumerate("xyz")]
+_S = [_slab(c, BOX[2 * i], BOX[2 * i + 1]) for i, c in enumerate("xyz")]
 
 
 @_query(f"{_SEG}, cut AS (SELECT *, greatest(0, {', '.join(s[0] for s in _S)}) AS t0, least(1, {', '.join(s[1] for s in _S)}) AS t1 FROM seg) SELECT skel_id, round(sum(CASE WHEN t1 > t0 THEN (t1 - t0) * {_SELF_LEN} ELSE 0 END), 4) AS length FROM cut GROUP BY skel_id", *NE)
