@@ -141,7 +141,7 @@ def _search(items: tuple[tuple[int, str], ...], error_rate: float, keep_text: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(items, error_rate)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             got = [[{"item_id": i, "distance": d, "end": e} for i, d, e in matcher.matches(normalised(x))] for x in b.column("text_").to_pylist()]
             names = [n for n in b.schema.names if keep_text or n != "text_"]
             yield pa.record_batch([*(b.column(n) for n in names), pa.array(got, kind)], names=[*names, "found"])

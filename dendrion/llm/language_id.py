@@ -165,7 +165,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
     fields = [f.name for f in rows.schema if f.name != "text_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             judged = [profiles.judge(x) for x in b.column("text_").to_pylist()]
             yield pa.record_batch([*(b.column(f) for f in fields), pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())], names=[*fields, "lang_pred", "score"])
 
