@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +71,29 @@ def fold_ascii(text: Column) -> Column:
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """The given columns of ``df`` under fixed names, and nothing else: extra columns can't clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+
+
+def thrifty(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A partition function whose worker gives freed memory back at the task's end.
+
+    Spark keeps idle Python workers for the next stage; without this each of them holds the most
+    that any stage before it needed.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Return this process's freed memory, Arrow's and the allocator's, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import named, thrifty
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
             yield pa.record_batch([*(b.column(f) for f in fields), pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())], names=[*fields, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in fields)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double").select("id", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
+    return rows.mapInArrow(thrifty(run), f"{schema}, lang_pred string, score double").select("id", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def in_fold(doc_id: Column, fold: int = 1, folds: int = 3) -> Column:
