@@ -119,6 +119,20 @@ def label_vote(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").select("skel_id", "new_id", "ntype")
 
 
+def prune_neurites(nodes: DataFrame, edges: DataFrame, somas: DataFrame, *, extent: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Branches of the root whose farthest node lies within ``extent`` cell body radii of its centre merge into node 0.
+
+    ``somas``: skel_id, cx, cy, cz, radius.  A branch is what hangs together without the root.
+    """
+    others = nodes.where("node_id <> 0")
+    branch = components(others, edges.where("u <> 0 and v <> 0"))
+    at_root = both_ways(edges).where("other = 0").select("skel_id", "node_id").join(branch, ["skel_id", "node_id"]).select("skel_id", "component").distinct()
+    d = F.sqrt(sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0)))
+    far = others.select("skel_id", "node_id", "x", "y", "z").join(branch, ["skel_id", "node_id"]).join(somas, "skel_id").groupBy("skel_id", "component").agg(F.max(d).alias("farthest"), F.first("radius").alias("radius"))
+    short = far.where(F.col("farthest") <= extent * F.col("radius")).join(at_root, ["skel_id", "component"], "left_semi")
+    return keep_listed(nodes, edges, branch.join(short, ["skel_id", "component"], "left_semi").select("skel_id", "node_id"), drop=True)
+
+
 def merge_near_soma(nodes: DataFrame, edges: DataFrame, somas: DataFrame, radius: str, *, near: float = 1.2, fat: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Nodes inside the cell body, or near it and fat, merge into node 0; their neighbours attach to it.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,26 +60,32 @@ def radius_estimates(members: DataFrame, keys: tuple[str, ...], value: str = "d"
     return members.join(q, list(keys)).groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.percentile(value, percentile).alias("percentile"), F.avg(inside).alias("trim"))
 
 
-def distances(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, radius: str | None = None, max_points: int = 100_000) -> DataFrame:
+def _against_points(rows: DataFrame, points: DataFrame, block_points: int) -> DataFrame:
+    """``rows`` with every query point (point_id, px, py, pz), block by block: a broadcast never holds many more than ``block_points`` points."""
+    p = points.select("point_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    blocks = -(-p.count() // block_points)
+    if blocks <= 1:
+        return rows.join(F.broadcast(p))
+    block = F.pmod(F.xxhash64("point_id", "px", "py", "pz"), F.lit(blocks))
+    return functools.reduce(DataFrame.unionByName, (rows.join(F.broadcast(p.where(block == i))) for i in range(blocks)))
+
+
+def distances(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, radius: str | None = None, block_points: int = 100_000) -> DataFrame:
     """``point_id, skel_id, distance`` of every point to every skeleton's centre line, or with ``radius`` to its surface (0 inside).
 
-    Exact: all edges count.  The points are a query set, broadcast up to ``max_points`` of them;
-    edges never move for it, and minima combine before the shuffle.
+    Exact: all edges count.  The points are a query set, broadcast in blocks of about
+    ``block_points``; edges never move for it, and minima combine before the shuffle.
     """
-    if points.limit(max_points + 1).count() > max_points:
-        raise ValueError(f"more than {max_points} query points; ask in blocks")
-    p = points.select("point_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
     e = with_ends(nodes, edges, *([radius] if radius else []))
     args = (g.vector("p"), g.vector("a"), g.vector("b"))
     d = g.point_capsule_distance(*args, F.col(f"a_{radius}"), F.col(f"b_{radius}")) if radius else g.point_segment_distance(*args)
-    out = e.join(F.broadcast(p)).groupBy("point_id", "skel_id").agg(F.min(d).alias("distance"))
+    out = _against_points(e, points, block_points).groupBy("point_id", "skel_id").agg(F.min(d).alias("distance"))
     return out.withColumn("distance", F.greatest("distance", F.lit(0.0))) if radius else out
 
 
-def distances_by_nearest_nodes(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, k: int = 4, radius: str | None = None) -> DataFrame:
+def distances_by_nearest_nodes(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, k: int = 4, radius: str | None = None, block_points: int = 100_000) -> DataFrame:
     """As ``distances``, but only over edges at the k nodes nearest to the point: a heuristic that may miss the nearest edge."""
-    p = points.select("point_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
-    near = nodes.select("skel_id", "node_id", "x", "y", "z").join(F.broadcast(p)).withColumn("d", g.distance(g.vector("p"), g.vector()))
+    near = _against_points(nodes.select("skel_id", "node_id", "x", "y", "z"), points, block_points).withColumn("d", g.distance(g.vector("p"), g.vector()))
     w = Window.partitionBy("point_id", "skel_id").orderBy("d", "node_id")
     near = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("point_id", "skel_id", "node_id", "px", "py", "pz")
     e = with_ends(nodes, edges, *([radius] if radius else []))

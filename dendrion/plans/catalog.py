@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..kernels import tree
-from ..operators import contacts, edit, graph, measures, mesh
+from ..operators import contacts, edit, graph, measures, mesh, shape
 from .views import ctes, view
 
 BOX = [20, 60, 10, 100, 10, 80]
@@ -155,6 +155,15 @@ def near_soma_merge(nodes, edges):
     return edit.merge_near_soma(nodes, edges, somas, "r_median")[0].groupBy("skel_id").agg(F.count(F.lit(1)).alias("n_left"))
 
 
+@_query(f"""{_ANC}, b AS (SELECT a.skel_id, a.node_id, a.ancestor FROM anc a JOIN sk_node p ON p.skel_id = a.skel_id AND p.node_id = a.ancestor WHERE p.parent_id = 0),
+f AS (SELECT b.skel_id, b.ancestor, count(*) AS size FROM b JOIN sk_node n USING (skel_id, node_id) JOIN sk_node s ON s.skel_id = b.skel_id AND s.node_id = 0 GROUP BY 1, 2
+  HAVING max(sqrt((n.x-s.x)*(n.x-s.x) + (n.y-s.y)*(n.y-s.y) + (n.z-s.z)*(n.z-s.z))) > 2.5 * max(s.r_median) * 20)
+SELECT n.skel_id, CAST(1 + coalesce(sum(f.size), 0) AS BIGINT) AS n_left FROM (SELECT DISTINCT skel_id FROM sk_node) n LEFT JOIN f USING (skel_id) GROUP BY 1""", *NE, recursive=True)
+def prune_neurites(nodes, edges):
+    somas = nodes.where("node_id = 0").select("skel_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), (F.col("r_median") * 20).alias("radius"))
+    return edit.prune_neurites(nodes, edges, somas, extent=2.5)[0].groupBy("skel_id").agg(F.count(F.lit(1)).alias("n_left"))
+
+
 @_query("SELECT skel_id, node_id, round(x / 1000, 6) AS x, round(r_median / 1000, 6) AS r_median FROM sk_node", "sk_node")
 def convert_unit(nodes):
     return measures.convert_unit(nodes, "nm", "um", ("r_median",)).select("skel_id", "node_id", _r("x", "x", 6), _r("r_median", "r_median", 6))
@@ -440,9 +449,27 @@ def calibrate_radii(faces, verts):
 @_query(None, *MF)
 def contact_sites_mesh(faces, verts):
     """Patches in which neighbouring height fields touch, with the second mesh of each pair turned over."""
+    geo, hits = _mesh_hits(faces, verts)
+    return contacts.contact_patches(hits, faces, geo).select("a_mesh_id", "b_mesh_id", "patch", "n_faces", _r("area", "area"), _r("dispersion", "dispersion"))
+
+
+@_query(None, *MF)
+def contact_shapes(faces, verts):
+    geo, hits = _mesh_hits(faces, verts)
+    rows = contacts.patch_members(hits, faces).join(geo.select(F.col("mesh_id").alias("a_mesh_id"), F.col("face_id").alias("a_face_id"), *geo.columns[2:]), ["a_mesh_id", "a_face_id"])
+    s = shape.patch_shapes(rows, ("a_mesh_id", "b_mesh_id", "patch"))
+    return s.select("a_mesh_id", "b_mesh_id", "patch", "n_faces", *(_r(c, c) for c in ("extent_long", "extent_short", "roundness", "dispersion")))
+
+
+@_query(None, *MF)
+def calibrate_radii_outer(faces, verts):
+    node, edge, vert = mesh.skeletonize(verts, faces)
+    return shape.calibrate_radii(node, edge, verts, faces, vert).withColumn("calibrated", F.round("calibrated", 4))
+
+
+def _mesh_hits(faces, verts):
     geo = mesh.face_geometry(faces, verts)
     near = geo.where("area > 0")
     s = near.select("mesh_id", "face_id", F.lit(0).cast("long").alias("sample_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "nx", "ny", "nz")
     even, odd = s.where("mesh_id % 2 = 0"), s.where("mesh_id % 2 = 1").withColumns({f"n{c}": -F.col(f"n{c}") for c in "xyz"})
-    hits = contacts.mesh_contacts(even, odd, 0.5)
-    return contacts.contact_patches(hits, faces, geo).select("a_mesh_id", "b_mesh_id", "patch", "n_faces", _r("area", "area"), _r("dispersion", "dispersion"))
+    return geo, contacts.mesh_contacts(even, odd, 0.5)

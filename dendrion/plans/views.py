@@ -32,7 +32,7 @@ FROM sk_node c JOIN sk_node p ON p.skel_id = c.skel_id AND p.node_id = c.parent_
 """,
     "sk_point": """
 SELECT p_partkey AS point_id, CAST(p_size AS DOUBLE) * 2 AS x, p_retailprice / 10 AS y, CAST(p_partkey % 97 AS DOUBLE) AS z
-FROM part WHERE p_partkey < 50
+FROM part WHERE p_partkey % 20 = 0
 """,
     "mesh_vert": """
 WITH q AS (
