@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch between the JVM and a Python worker, where the session has no bound of its own.
+BATCH_BYTES = 2 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -73,6 +75,19 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+def mapped(df: DataFrame, f: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``f`` over the Arrow batches of each partition, which are small whatever the length of the texts.
+
+    Spark's own bound is 64 MB, and a batch exists several times over (in the JVM's buffer, which
+    doubles as it grows, in the worker and in its result) for each core.  It is read when a query
+    runs, so it is set in the session; a bound that the session was given already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key).rstrip("bB") == str(64 << 20):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(thrifty(f), schema)
+
+
 def thrifty(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A partition function whose worker gives freed memory back at the task's end.
 

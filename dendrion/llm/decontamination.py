@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, thrifty, written
+from .common import mapped, named, written
 
 #: Edits allowed per letter of an item.
 ERROR_RATE = 0.08
@@ -164,7 +164,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
         after = next(blocks, None)
         passed = [f for f in out.schema if after is not None or f.name != "text_"]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed)
-        out = out.mapInArrow(thrifty(_search(items, error_rate, after is not None)), f"{schema}, found {found}").withColumn("matches", F.array_sort(F.concat("matches", "found"))).drop("found")
+        out = mapped(out, _search(items, error_rate, after is not None), f"{schema}, found {found}").withColumn("matches", F.array_sort(F.concat("matches", "found"))).drop("found")
         # one block's search is done before the next one begins
         out, items = written(out, "decontamination-block") if after is not None else out, after
     return out.select("id", "matches", *(F.col(f"keep_{c}").alias(c) for c in keep))

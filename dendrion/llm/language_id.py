@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named, thrifty
+from .common import mapped, named
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -122,9 +122,9 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     unit = (F.xxhash64("id", F.lit("profile")).cast("double") / F.lit(2.0**63) + 1) / 2
     picked = rows.withColumn("h", F.xxhash64("id", F.lit("profile"))).where(unit <= share).select("lang", "h", "text")
     picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
-    counted = picked.select("lang", "text").mapInArrow(_char_counts, "lang string, ch string, n long").groupBy("ch").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ch").limit(LETTERS).collect()
+    counted = mapped(picked.select("lang", "text"), _char_counts, "lang string, ch string, n long").groupBy("ch").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ch").limit(LETTERS).collect()
     alphabet = "".join(sorted(r["ch"] for r in counted))
-    grams = picked.select("lang", "text").mapInArrow(_gram_counts(alphabet), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = mapped(picked.select("lang", "text"), _gram_counts(alphabet), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= PROFILE).orderBy("lang", "k").collect()
     ranked: dict[str, list[int]] = {}
     for r in best:
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
             yield pa.record_batch([*(b.column(f) for f in fields), pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())], names=[*fields, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in fields)
-    return rows.mapInArrow(thrifty(run), f"{schema}, lang_pred string, score double").select("id", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
+    return mapped(rows, run, f"{schema}, lang_pred string, score double").select("id", "lang_pred", "score", *(F.col(f"keep_{c}").alias(c) for c in keep))
 
 
 def in_fold(doc_id: Column, fold: int = 1, folds: int = 3) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import U, mix, shingle_sets
-from .common import give_back, named, reclaim, thrifty, written
+from .common import give_back, mapped, named, reclaim, written
 from .components import components
 from .repeats import text_keys
 
@@ -225,7 +225,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     values = chunks_for(similarity) * CHUNK
     rows = named(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     keyed_rows = rows.select("id", "text", *text_keys(F.col("text")))
-    sketch = written(keyed_rows.mapInArrow(thrifty(_sketch(words, values)), "id long, k1 long, k2 long, n_shingles long, node binary, keys array<long>"), "near-sketch")
+    sketch = written(mapped(keyed_rows, _sketch(words, values), "id long, k1 long, k2 long, n_shingles long, node binary, keys array<long>"), "near-sketch")
     nodes = sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), F.max("keys").alias("keys"))
     nodes = written(nodes, "near-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
@@ -239,7 +239,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     # grows with the corpus and is no candidate for a broadcast at any size
     wanted = dealt.select(F.col("least_id").alias("w"), "node", "family", "block").hint("merge")
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select("node", "family", "block", "text")
-    sets = written(texts.mapInArrow(thrifty(_sets(words)), "node binary, family binary, block long, shingles binary"), "near-sets")
+    sets = written(mapped(texts, _sets(words), "node binary, family binary, block long, shingles binary"), "near-sets")
     reclaim(docs.sparkSession)
     return _assemble(sketch, nodes, _links(sets, dealt, per_cent))
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import named, new_scratch, partitions, thrifty
+from .common import mapped, named, new_scratch, partitions
 from .tokenizer import tokenizer
 
 #: Documents and serialized bytes the dictionary is trained on at most: those with the smallest hashes.
@@ -108,7 +108,7 @@ def write_store(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     dictionary = _train(sample, tokenizer_path, end_id)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
     ranged = rows.withColumn("h", order).repartitionByRange(partitions(spark), F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
-    ranged.mapInArrow(thrifty(_pack(tokenizer_path, end_id, dictionary)), _PACK_SQL).write.parquet(f"{path}/packs")
+    mapped(ranged, _pack(tokenizer_path, end_id, dictionary), _PACK_SQL).write.parquet(f"{path}/packs")
     packs = spark.read.schema(_PACK_SQL).parquet(f"{path}/packs")
     # one row per range, so the window is as small as the number of partitions
     sums = packs.groupBy("range").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"), F.sum(F.size("doc_ids").cast("long")).alias("docs"))
@@ -152,7 +152,7 @@ def read_store(spark: SparkSession, path: str, *, with_ids: bool = True) -> Data
     # payloads stay out of the window: only a row of numbers per pack is sorted
     offsets = packs.select("range", "pack", tokens.alias("t")).withColumn("in_range", F.coalesce(F.sum("t").over(before), F.lit(0))).join(starts, "range").select("range", "pack", (F.col("in_range") + F.col("tokens_before")).alias("tokens_before"))
     placed = packs.join(offsets, ["range", "pack"])
-    return placed.mapInArrow(thrifty(_unpack(dictionary, with_ids)), "id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return mapped(placed, _unpack(dictionary, with_ids), "id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
