@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..kernels import tree
-from ..operators import contacts, edit, graph, measures, mesh, shape
+from ..operators import contacts, edit, graph, measures, mesh, projection, shape
 from .views import ctes, view
 
 BOX = [20, 60, 10, 100, 10, 80]
@@ -467,6 +467,41 @@ def calibrate_radii_outer(faces, verts):
     return shape.calibrate_radii(node, edge, verts, faces, vert).withColumn("calibrated", F.round("calibrated", 4))
 
 
+_MESH_BIN = lambda c, n: f"CAST(least(floor(({c} - CASE WHEN hi_{c} > lo_{c} THEN lo_{c} ELSE lo_{c} - 0.5 END) / CASE WHEN hi_{c} > lo_{c} THEN hi_{c} - lo_{c} ELSE 1.0 END * {n}.0), {n - 1}) AS BIGINT)"
+
+
+@_query(f""", m AS (SELECT mesh_id, min(x) AS lo_x, max(x) AS hi_x, min(z) AS lo_z, max(z) AS hi_z FROM mesh_vert GROUP BY 1)
+SELECT mesh_id, {_MESH_BIN("x", 16)} AS i, {_MESH_BIN("z", 8)} AS j, count(*) AS n FROM mesh_vert JOIN m USING (mesh_id) GROUP BY 1, 2, 3""", "mesh_vert")
+def projection_density(verts):
+    return projection.density(projection.project(verts, "xz"), (16, 8))
+
+
+@_query("SELECT mesh_id, " + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}, max({c}) - min({c}) AS range_{c}" for c in "xyz") + " FROM mesh_vert GROUP BY 1", "mesh_vert")
+def axis_extents(verts):
+    return projection.axis_extents(verts, "mesh_id")
+
+
+@_query(", k AS (SELECT skel_id, node_id FROM sk_node WHERE z * 2.0 BETWEEN 20 AND 120 AND y * 2.0 BETWEEN 30 AND 160)\nSELECT e.skel_id, u, v FROM sk_edge e JOIN k a ON a.skel_id = e.skel_id AND a.node_id = u JOIN k b ON b.skel_id = e.skel_id AND b.node_id = v", *NE)
+def projection_window(nodes, edges):
+    return projection.visible_edges(projection.crop(projection.project(nodes, "zy", scale=2.0), (20, 120), (30, 160)), edges).select("skel_id", "u", "v")
+
+
+@_query("SELECT n.skel_id, node_id, round(n.x - 1.5 * r, 4) AS x_lo, round(n.x + 1.5 * r, 4) AS x_hi, round(n.y - 1.5 * r, 4) AS y_lo, round(n.y + 1.5 * r, 4) AS y_hi FROM sk_node n JOIN (SELECT skel_id, r_median AS r FROM sk_node WHERE node_id = 0) USING (skel_id)", "sk_node")
+def node_windows(nodes):
+    soma = nodes.where("node_id = 0").select("skel_id", F.col("r_median").alias("soma_radius"))
+    return projection.node_windows(nodes, soma, multiplier=1.5).select("skel_id", "node_id", *(_r(c, c) for c in ("x_lo", "x_hi", "y_lo", "y_hi")))
+
+
+@_query(", c AS (SELECT mesh_id, unnest([a, b, c]) AS vert_id FROM mesh_face WHERE face_id % 10 = 3)\nSELECT c.mesh_id, " + ", ".join(f"min({x}) - 5 AS min_{x}, max({x}) + 5 AS max_{x}" for x in "xyz") + " FROM c JOIN mesh_vert v ON v.mesh_id = c.mesh_id AND v.vert_id = c.vert_id GROUP BY 1", *MF)
+def face_boxes(faces, verts):
+    return projection.face_boxes(faces.where("face_id % 10 = 3"), verts, margin=5.0)
+
+
+@_query("SELECT skel_id, u - 1 AS u, v - 1 AS v FROM sk_edge WHERE u > 0", *NE)
+def without_root(nodes, edges):
+    return projection.without_root(nodes, edges)[1].select("skel_id", "u", "v")
+
+
 def _mesh_hits(faces, verts):
     geo = mesh.face_geometry(faces, verts)
     near = geo.where("area > 0")
