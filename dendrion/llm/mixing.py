@@ -126,6 +126,25 @@ def schedule_mix(plan: DataFrame) -> DataFrame:
     return rows.repartitionByRange(partitions(plan.sparkSession), "position", "order_key").sortWithinPartitions("position", "order_key")
 
 
+def scheduled(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The plan and the training sequence, both written out: every position is computed and the rows are dealt by it, whatever a reader selects."""
+    plan = written(plan_mix(docs, **options), "mix-plan")
+    return plan, written(schedule_mix(plan), "mix-sequence")
+
+
+def per_document(plan: DataFrame, sequence: DataFrame) -> DataFrame:
+    """The plan's rows with what the sequence holds of each: ``taken`` (its words), ``n_stretches, first_position, last_position``.
+
+    A document with words has a place of its own on its source's line, which tells even equal rows
+    apart; those never taken have no stretch and null positions.
+    """
+    source_key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
+    sums = sequence.groupBy(source_key.alias("seq_source"), F.col("word_start").alias("seq_start")).agg(F.sum("words").alias("seq_words"), F.count(F.lit(1)).alias("n_stretches"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
+    rows = plan.drop("taken").withColumn("seq_key", source_key)
+    joined = rows.join(sums, (F.col("size") > 0) & (F.col("seq_key") == F.col("seq_source")) & (F.col("word_start") == F.col("seq_start")), "left")
+    return joined.withColumn("taken", F.coalesce(F.col("seq_words"), F.lit(0)).cast("long")).withColumn("n_stretches", F.coalesce(F.col("n_stretches"), F.lit(0)).cast("long")).drop("seq_key", "seq_source", "seq_start", "seq_words")
+
+
 def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     """The mix as documents with the given columns, in training order; a document cut at the target keeps its first words, joined by single spaces."""
     taken = schedule_mix(plan_mix(docs, keep=tuple(columns), **options))

@@ -62,8 +62,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | Non
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    """What the training sequence holds of each document, read back from the sequence; its positions are op10_training_sequence's, since the SQL has no column for them."""
+    out = mixing.per_document(*mixing.scheduled(table(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+def op10_training_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per taken stretch with its training position, range-sorted by it."""
+    out = mixing.schedule_mix(mixing.plan_mix(table(spark, sf_dir, "documents")))
+    return out.select(F.col("id").alias("doc_id"), "source", "pass_no", "words", "size", "position")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_repeats, op3_token_store, op4_near_dedup, op5_sharding, op6_url_filter, op7_language_id, op8_exact_dedup, op9_token_counts, op10_mixing, pipeline)
+    ops = (op1_decontamination, op2_repeats, op3_token_store, op4_near_dedup, op5_sharding, op6_url_filter, op7_language_id, op8_exact_dedup, op9_token_counts, op10_mixing, op10_training_sequence, pipeline)
     return {f.__name__: f for f in ops}
 
 

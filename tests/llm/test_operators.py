@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from dendrion.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, repeats, sharding, token_counts, token_store, url_filter
+from dendrion.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, queries, repeats, sharding, token_counts, token_store, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string"
 LINE = "the quick brown fox jumps over the lazy dog and runs far away from here today "
@@ -70,6 +70,28 @@ def test_mixing(odd, none):
     assert mixing.plan_mix(none).count() == 0 and mixing.mixed_documents(none, ["doc_id", "text"]).count() == 0
 
 
+def test_mixing_runs_its_schedule(spark, odd, monkeypatch, tmp_path):
+    # op10 is read from the sequence: a query that stops at the plan never gets here
+    ran, whole = [], mixing.schedule_mix
+    monkeypatch.setattr(mixing, "schedule_mix", lambda plan: ran.append(1) or whole(plan))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (str(r["doc_id"]), r["size"], r["source_size"], r["taken"])
+    got = queries.queries()["op10_mixing"](spark, str(tmp_path)).collect()
+    assert ran and sorted(map(key, got)) == sorted(key(r) for r in mixing.plan_mix(odd).withColumnRenamed("id", "doc_id").collect())
+    seq = queries.queries()["op10_training_sequence"](spark, str(tmp_path)).collect()
+    assert sum(r["words"] for r in seq) == sum(r["taken"] for r in got)
+    at = [r["position"] for r in seq]
+    assert at == sorted(at) and 0 < at[0] < at[-1] < 1
+    # demand follows the schedule: where the weight is steady half of the words come by t = 1/2, where it grows 1 -> 3 only 3/8
+    for source, share in (("a", 0.5), ("b", 0.375), ("c", 0.625)):
+        flat = [(i, "w " * 4, source2) for source2 in "abc" for i in range(400)]
+        mine = [r for r in whole(mixing.plan_mix(frame(spark, flat))).collect() if r["source"] == source]
+        early = sum(r["words"] for r in mine if r["position"] <= 0.5) / sum(r["words"] for r in mine)
+        assert early == pytest.approx(share, abs=0.01)
+    rows = mixing.per_document(*mixing.scheduled(odd)).collect()
+    assert len(rows) == odd.count() and all((r["first_position"] is None) == (r["taken"] == 0) for r in rows)
+
+
 def test_sharding(odd, none):
     got = sharding.shard(odd, shards=4).collect()
     assert len(got) == odd.count() and {r["shard"] for r in got} <= set(range(4))
