@@ -35,14 +35,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order; a document taken twice has two rows, the last one of a source may be cut."""
-    return mixing.mixed_documents(docs, COLUMNS)
+    """The mix in training order, with the columns that carry it; a document taken twice has two rows, the last one of a source may be cut."""
+    return mixing.mixed_documents(docs, COLUMNS, with_order=True)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids written to the compressed store and read back: place, number and checksum per row."""
-    out = token_store.round_trip(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    """Token ids written to the compressed store in training order and read back: place, number and checksum per row."""
+    out = token_store.round_trip(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2, order=mixing.ORDER)
+    return out.select(F.col("id").alias("doc_id"), "place", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [

@@ -25,6 +25,8 @@ from .common import named, partitions, written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows that one bucket of the running sums holds on average.
 BUCKET_ROWS = 4096
+#: The columns whose ascending order is the training order.
+ORDER = ("position", "order_key", "pass_no")
 
 
 def word_count(text: Column) -> Column:
@@ -123,7 +125,7 @@ def schedule_mix(plan: DataFrame) -> DataFrame:
     rows = plan.withColumn("stretch", F.explode(F.filter(stretches, lambda s: s["words"] > 0))).select("*", "stretch.pass_no", "stretch.words").drop("stretch")
     middle = F.col("pass_no") * F.col("source_size") + F.col("word_start") + F.col("words") / 2.0
     rows = rows.withColumn("position", _position(middle, F.col("target"), F.col("w_start"), F.col("w_end")))
-    return rows.repartitionByRange(partitions(plan.sparkSession), "position", "order_key").sortWithinPartitions("position", "order_key")
+    return rows.repartitionByRange(partitions(plan.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
 
 
 def scheduled(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -145,11 +147,11 @@ def per_document(plan: DataFrame, sequence: DataFrame) -> DataFrame:
     return joined.withColumn("taken", F.coalesce(F.col("seq_words"), F.lit(0)).cast("long")).withColumn("n_stretches", F.coalesce(F.col("n_stretches"), F.lit(0)).cast("long")).drop("seq_key", "seq_source", "seq_start", "seq_words")
 
 
-def mixed_documents(docs: DataFrame, columns: list[str], **options) -> DataFrame:
-    """The mix as documents with the given columns, in training order; a document cut at the target keeps its first words, joined by single spaces."""
+def mixed_documents(docs: DataFrame, columns: list[str], with_order: bool = False, **options) -> DataFrame:
+    """The mix as documents with the given columns, in training order, which the columns of ``ORDER`` carry on if asked for; a document cut at the target keeps its first words, joined by single spaces."""
     taken = schedule_mix(plan_mix(docs, keep=tuple(columns), **options))
     words = F.split(F.trim(F.regexp_replace(F.col("keep_text"), r"[\x20\x09-\x0D]+", " ")), " ")
     is_cut = F.col("words") < F.col("size")
     text = F.when(is_cut, F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("keep_text"))
     changed = {"text": text, "n_chars": F.when(is_cut, F.char_length(text).cast("long")).otherwise(F.col("keep_n_chars")) if "n_chars" in columns else None}
-    return taken.select(*((F.col(f"`keep_{c}`") if changed.get(c) is None else changed[c]).alias(c) for c in columns))
+    return taken.select(*((F.col(f"`keep_{c}`") if changed.get(c) is None else changed[c]).alias(c) for c in columns), *(ORDER if with_order else ()))

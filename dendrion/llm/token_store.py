@@ -2,7 +2,7 @@
 
 Each document's ids, as little-endian unsigned 32-bit integers, are one zstandard frame of its own.
 All frames share a dictionary trained on serialized id arrays, because short documents alone hold
-too little to compress.  Frames are packed in ascending document order:
+too little to compress.  Frames are packed in ascending document order, or in one that is given:
 
     store/packs        one row per pack: range, pack, first_id, last_id, dictionary (its SHA-256),
                        offsets (array, frames + 1 entries, bytes within the payload),
@@ -10,8 +10,8 @@ too little to compress.  Frames are packed in ascending document order:
     store/starts       one row per range: tokens and documents before it
     store/dictionary   one row: sha256, dictionary
 
-A reader of one document needs the pack whose id range holds it (Parquet statistics prune the
-rest), one slice of the payload and the dictionary.  Packs are written by Spark's committer, so a
+A reader of one document needs the packs whose id range holds it (Parquet statistics prune the
+rest; in another order than the ids' there are more of them), one slice of the payload and the dictionary.  Packs are written by Spark's committer, so a
 lost executor leaves no partial pack behind.
 """
 
@@ -90,24 +90,26 @@ def _pack(tokenizer_path: str, end_id: int, dictionary: bytes):
     return run
 
 
-def write_store(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every document, append ``end_id``, and write the store in ascending id order, null ids first.
+def write_store(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, ...] = ()) -> None:
+    """Encode every document, append ``end_id``, and write the store in ascending order of the columns ``order``, then of the id, nulls first.
 
-    Null texts are empty: the end id alone.  Rows with the same id stand in the order of a hash of
+    Null texts are empty: the end id alone.  Rows that are equal in all of these stand in the order of a hash of
     their text; equal rows are interchangeable.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = named(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    order = F.xxhash64("id", "text")
+    by = [f"by_{i}" for i in range(len(order))]
+    rows = named(docs, id=id_col, text=text_col, **dict(zip(by, order, strict=True))).select(F.col("id").cast("long").alias("id"), "text", *by)
+    mixed = F.xxhash64("id", "text")
     budget = TRAIN_BYTES // TRAIN_DOCS
     # whole short texts: what is short gains most from the dictionary.  A threshold on the hash passes
     # a few times as many as are needed, however many tasks look for them
-    short = rows.where(F.octet_length("text") <= budget).select("text", order.alias("h"))
+    short = rows.where(F.octet_length("text") <= budget).select("text", mixed.alias("h"))
     share = min(1.0, 8 * TRAIN_DOCS / max(1, docs.count()))
     sample = short.where(F.col("h") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))).orderBy("h", "text").limit(TRAIN_DOCS).select("text")
     dictionary = _train(sample, tokenizer_path, end_id)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
-    ranged = rows.withColumn("h", order).repartitionByRange(partitions(spark), F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h").select("id", "text")
+    keys = [*(F.col(c).asc_nulls_first() for c in (*by, "id")), F.col("h").asc()]
+    ranged = rows.withColumn("h", mixed).repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).select("id", "text")
     mapped(ranged, _pack(tokenizer_path, end_id, dictionary), _PACK_SQL).write.parquet(f"{path}/packs")
     packs = spark.read.schema(_PACK_SQL).parquet(f"{path}/packs")
     # one row per range, so the window is as small as the number of partitions
@@ -134,25 +136,29 @@ def _unpack(dictionary: bytes, with_ids: bool):
                 if p["dictionary"] != name:
                     raise ValueError(f"pack {p['range']}/{p['pack']} was written with dictionary {p['dictionary']}")
                 raw = [decompress(p["payload"][a:z]) for a, z in zip(p["offsets"], p["offsets"][1:], strict=False)]
+                places = np.arange(len(raw)) + p["rows_before"]
                 starts = p["tokens_before"] + np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])[:-1]])
                 out = [pa.array(p["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-                names = ["id", "start", "n_tokens", "ids_crc32"]
+                out.append(pa.array(places, pa.int64()))
+                names = ["id", "start", "n_tokens", "ids_crc32", "place"]
                 yield pa.record_batch([*out, pa.array(raw, pa.binary())] if with_ids else out, names=[*names, "ids"] if with_ids else names)
 
     return run
 
 
 def read_store(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
-    """``id, start, n_tokens, ids_crc32`` and, unless left out, ``ids`` (binary) of every document, decoded from its frames."""
+    """``id, start, n_tokens, ids_crc32, place`` and, unless left out, ``ids`` (binary) of every document, decoded from its frames; places count the documents in the store's order from 0."""
     dictionary = _load_dictionary(spark, path)
     packs = spark.read.schema(_PACK_SQL).parquet(f"{path}/packs")
     starts = spark.read.schema("range int, tokens_before long, docs_before long").parquet(f"{path}/starts")
     before = Window.partitionBy("range").orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
     tokens = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     # payloads stay out of the window: only a row of numbers per pack is sorted
-    offsets = packs.select("range", "pack", tokens.alias("t")).withColumn("in_range", F.coalesce(F.sum("t").over(before), F.lit(0))).join(starts, "range").select("range", "pack", (F.col("in_range") + F.col("tokens_before")).alias("tokens_before"))
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = packs.select("range", "pack", tokens.alias("t"), F.size("doc_ids").cast("long").alias("d")).withColumns({"t_in": so_far("t"), "d_in": so_far("d")}).join(starts, "range")
+    offsets = offsets.select("range", "pack", (F.col("t_in") + F.col("tokens_before")).alias("tokens_before"), (F.col("d_in") + F.col("docs_before")).alias("rows_before"))
     placed = packs.join(offsets, ["range", "pack"])
-    return mapped(placed, _unpack(dictionary, with_ids), "id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return mapped(placed, _unpack(dictionary, with_ids), "id long, start long, n_tokens long, ids_crc32 long, place long" + ", ids binary" * with_ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:

@@ -187,6 +187,18 @@ def test_token_store(spark, odd, none, tmp_path):
     assert token_store.round_trip(none, tokenizer_path=WORD).count() == 0
 
 
+def test_pipeline_stores_in_training_order(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, [(i, f"{LINE} number {i} " * (1 + i % 3), "abc"[i % 3]) for i in range(200)])
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    want = [r["doc_id"] for r in sorted(mixed.collect(), key=lambda r: (r["position"], r["order_key"], r["pass_no"]))]
+    # the store gets the rows in any order, as from files that are read again
+    got = sorted(corpus_pipeline.store_tokens(spark, mixed.repartition(3, "text"), "").collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(len(want))) and [r["doc_id"] for r in got] == want != sorted(want)
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+
+
 def test_token_counts(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
