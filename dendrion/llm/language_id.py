@@ -5,12 +5,13 @@ by a blank) in order of frequency.  A document's own most frequent n-grams are r
 and its distance to a language is the sum, over them, of how far each is out of place; an n-gram
 that a profile lacks costs the maximum.  The nearest profile wins.
 
-Letters are folded and numbered by the alphabet of the training sample; all other letters share a
-number.  Counting is one pass over the whole text.
+Letters are folded, and an n-gram is numbered by its code points, so that every letter of every
+script is one of its own.  Counting is one pass over the whole text.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,26 +25,24 @@ from .common import mapped, named
 PROFILE = 300
 #: Labelled documents per language that the profiles are learned from at most: those with the smallest hashes.
 SAMPLE = 400
-#: Letters with numbers of their own; blank is 0, and all other letters share the last number.
-LETTERS = 62
-_BASE = LETTERS + 2
+#: Code points; three of them fit into 63 bits.  Blank, and all that is no letter, is 0.
+_BASE = 0x110000
 #: Bytes of text that are counted at once; a longer text is counted in pieces that overlap by two letters.
 _PIECE = 1 << 22
 
 
-def _letter_table() -> np.ndarray:
-    """For each code point of the basic plane whether it is a letter (after folding)."""
-    return np.frombuffer(bytes(chr(c).isalpha() for c in range(0x10000)), np.uint8).astype(bool)
+@functools.cache
+def _letter_codes() -> np.ndarray:
+    """Each code point's number: its own if it is a letter, else 0."""
+    letters = np.frombuffer(bytes(chr(c).isalpha() for c in range(_BASE)), np.uint8)
+    return np.where(letters, np.arange(_BASE), 0).astype(np.int32)
 
 
 class Coder:
-    """Texts to n-gram counts over a fixed alphabet."""
+    """Texts to n-gram counts."""
 
-    def __init__(self, alphabet: str):
-        self.alphabet = alphabet
-        self.codes = np.where(_letter_table(), _BASE - 1, 0).astype(np.int32)
-        for i, ch in enumerate(alphabet):
-            self.codes[ord(ch)] = i + 1
+    def __init__(self):
+        self.codes = _letter_codes()
 
     def counts(self, text: str) -> np.ndarray:
         """(n-gram number, count) of the whole text, in two rows; no columns without a letter."""
@@ -54,7 +53,7 @@ class Coder:
             # a later piece repeats two letters, so that no n-gram is lost or counted twice
             piece = text[max(0, i - 2) : i + step]
             points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            c = np.where(points < 0x10000, self.codes[np.minimum(points, 0xFFFF)], _BASE - 1).astype(np.int64)
+            c = self.codes[points].astype(np.int64)
             first, last = i == 0, i + step >= len(text)
             c = np.concatenate([np.zeros(int(first), np.int64), c, np.zeros(int(last), np.int64)])
             old = 1 if first else 2
@@ -80,78 +79,74 @@ class Coder:
 
 
 class Profiles:
-    """Rank tables of the languages; a pickle of this is what the executors get (a few MB at most)."""
+    """Ranked n-grams of the languages; a pickle of this is what the executors get (a few kB for each language)."""
 
-    def __init__(self, alphabet: str, ranked: dict[str, np.ndarray]):
-        self.alphabet, self.languages, self.ranked = alphabet, sorted(ranked), ranked
-        self._ready: tuple[Coder, np.ndarray] | None = None
+    def __init__(self, ranked: dict[str, np.ndarray]):
+        self.languages, self.ranked = sorted(ranked), ranked
+        self._ready: tuple | None = None
 
     def __getstate__(self):
-        return {"alphabet": self.alphabet, "languages": self.languages, "ranked": self.ranked, "_ready": None}
+        return {"languages": self.languages, "ranked": self.ranked, "_ready": None}
+
+    def _index(self) -> tuple:
+        """Coder, all n-grams of the profiles in order, where each one's entries begin, and the entries' languages and ranks."""
+        grams = np.concatenate([self.ranked[x] for x in self.languages])
+        langs = np.repeat(np.arange(len(self.languages)), [len(self.ranked[x]) for x in self.languages])
+        ranks = np.concatenate([np.arange(len(self.ranked[x])) for x in self.languages])
+        order = np.argsort(grams, kind="stable")
+        known, first = np.unique(grams[order], return_index=True)
+        return Coder(), known, np.append(first, len(grams)), langs[order], ranks[order]
 
     def judge(self, text: str | None) -> tuple[str, float]:
         """Language and score; ``und`` and 0 without a letter.  The score is 1 for a document in the profile's very order and 0 for one that shares nothing with it."""
+        if not self.languages:
+            return "und", 0.0
         if self._ready is None:
-            table = np.full((len(self.languages), _BASE + _BASE**2 + _BASE**3), PROFILE, np.int32)
-            for row, lang in enumerate(self.languages):
-                table[row, self.ranked[lang]] = np.arange(len(self.ranked[lang]))
-            self._ready = Coder(self.alphabet), table
-        coder, table = self._ready
+            self._ready = self._index()
+        coder, known, first, langs, ranks = self._ready
         mine = coder.top(text or "")
-        if len(mine) == 0 or not self.languages:
+        if len(mine) == 0:
             return "und", 0.0
-        ranks = table[:, mine]
-        out = np.where(ranks == PROFILE, PROFILE, np.abs(ranks - np.arange(len(mine)))).sum(axis=1)
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        place = np.flatnonzero(known[at] == mine)
+        begin, n = first[at[place]], first[at[place] + 1] - first[at[place]]
+        entry = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        # what a shared n-gram saves of the maximum
+        saved = PROFILE - np.abs(ranks[entry] - np.repeat(place, n))
+        out = PROFILE * len(mine) - np.bincount(langs[entry], weights=saved, minlength=len(self.languages))
         best = int(out.argmin())
         return self.languages[best], float(1.0 - out[best] / (PROFILE * len(mine)))
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, max_languages: int = 400) -> Profiles:
-    """Profiles from at most ``sample`` documents of each of at most ``max_languages`` labels.
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Profiles:
+    """Profiles of all labels, from at most ``sample`` documents of each.
 
     The sample is a bounded one of labelled rows, the same in every run: the smallest hashes of id
     and text.  Rows without text or label are left out; without any labelled row there are no
     profiles, and every document is ``und``.
     """
     rows = named(docs, id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null")
-    cuts = rows.select("lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     # a hash threshold that passes about twice the sample, so the rows kept for the top-k are few
-    share = F.lit(0.0)
-    for r in cuts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * sample / max(1, r["n"])))).otherwise(share)
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample) / F.count(F.lit(1))).alias("share"))
+    rows = rows.join(F.broadcast(shares), "lang")
     unit = (F.xxhash64("id", F.lit("profile")).cast("double") / F.lit(2.0**63) + 1) / 2
-    picked = rows.withColumn("h", F.xxhash64("id", F.lit("profile"))).where(unit <= share).select("lang", "h", "text")
+    picked = rows.withColumn("h", F.xxhash64("id", F.lit("profile"))).where(unit <= F.col("share")).select("lang", "h", "text")
     picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
-    counted = mapped(picked.select("lang", "text"), _char_counts, "lang string, ch string, n long").groupBy("ch").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ch").limit(LETTERS).collect()
-    alphabet = "".join(sorted(r["ch"] for r in counted))
-    grams = mapped(picked.select("lang", "text"), _gram_counts(alphabet), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = mapped(picked.select("lang", "text"), _gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= PROFILE).orderBy("lang", "k").collect()
     ranked: dict[str, list[int]] = {}
     for r in best:
         ranked.setdefault(r["lang"], []).append(r["gram"])
-    return Profiles(alphabet, {k: np.array(v) for k, v in ranked.items()})
+    return Profiles({k: np.array(v) for k, v in ranked.items()})
 
 
-def _char_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = Coder()
     for b in batches:
-        total = np.zeros(0x10000, np.int64)
-        for text in b.column(1).to_pylist():
-            points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            total += np.bincount(points[points < 0x10000], minlength=0x10000)
-        used = [c for c in np.flatnonzero(total) if chr(c).isalpha()]
-        yield pa.record_batch([pa.array([""] * len(used)), pa.array([chr(c) for c in used], pa.string()), pa.array(total[used])], names=["lang", "ch", "n"])
-
-
-def _gram_counts(alphabet: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(alphabet)
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text:
-                    grams, n = coder.counts(text)
-                    yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
-
-    return run
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if text:
+                grams, n = coder.counts(text)
+                yield pa.record_batch([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -224,6 +224,21 @@ def test_language_id(spark, none):
     assert {r["lang_pred"] for r in language_id.predict(strange, language_id.learn(none)).collect()} == {"und"}
 
 
+def test_language_id_of_many_scripts(spark):
+    # far more than 62 letters, in which the long texts of one script come first
+    rng, rows = np.random.default_rng(4), []
+    scripts = {f"l{k}": [chr(c) for c in range(0x4E00 + 100 * k, 0x4E00 + 100 * k + (90 if k == 0 else 20))] for k in range(6)} | {"deseret": [chr(c) for c in range(0x10428, 0x10440)], "plain": list("abcdefghij")}
+    for lang, letters in scripts.items():
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(letters, 4)) for _ in range(2000 if lang == "l0" else 60)), lang) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict(docs, language_id.learn(docs.where("doc_id % 3 > 0")), keep=("lang",)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    emoji = spark.createDataFrame([(1, "12 \U0001f600\U0001f680 34")], "doc_id long, text string")
+    assert language_id.predict(emoji, language_id.learn(docs)).first()["lang_pred"] == "und"
+    many = spark.createDataFrame([(i, chr(0x4E00 + i) * 9, f"m{i:03}") for i in range(450)], "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] for r in language_id.predict(many, language_id.learn(many), keep=("lang",)).collect())
+
+
 def test_decontamination(spark, none):
     item = "A rather long benchmark question, about rivers and mountains and what lies between them?"
     edited = item.replace("rivers", "rovers").replace("between", "betwen")
