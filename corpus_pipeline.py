@@ -35,8 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order, with the columns that carry it; a document taken twice has two rows, the last one of a source may be cut."""
-    return mixing.mixed_documents(docs, COLUMNS, with_order=True)
+    """The mix in training order, with the columns that carry it; a document taken twice has two rows, and all texts stay as they are."""
+    return mixing.mixed_documents(docs, COLUMNS, with_order=True, whole=True)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,12 +70,12 @@ def _position(demand: Column, target: Column, start: Column, end: Column) -> Col
     D(t) = target * (2 start t + (end - start) t^2) / (start + end), solved for t in the form that
     stays exact for equal weights.
     """
-    y = F.when(target > 0, demand / target).otherwise(F.lit(0.0)) * (start + end)
+    y = F.when(target > 0, F.least(F.lit(1.0), demand / target)).otherwise(F.lit(0.0)) * (start + end)
     root = F.sqrt(F.greatest(F.lit(0.0), start * start + (end - start) * y))
     return F.when(start + root > 0, y / (start + root)).otherwise(F.lit(0.0))
 
 
-def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, max_repeat: float = 2.0, schedule: tuple[tuple[float, float], ...] = ((1.0, 1.0), (1.0, 3.0), (3.0, 1.0)), keep: tuple[str, ...] = ()) -> DataFrame:
+def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = 1.5, max_repeat: float = 2.0, schedule: tuple[tuple[float, float], ...] = ((1.0, 1.0), (1.0, 3.0), (3.0, 1.0)), keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """One row per document: ``id, source, size, source_size, target, taken, word_start, order_key`` and others for
     ``schedule_mix``; the columns in ``keep`` come as ``keep_<name>``.
 
@@ -84,6 +84,9 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     of its own, null and empty texts have size 0 and are never taken, null ids are ordered by the
     hash of the text alone.  Repeated rows are documents of their own; their order among each other
     is immaterial.  An empty table gives an empty result.
+
+    The document at which a source's target is reached is cut there or, with ``whole``, taken whole
+    or left, whichever is nearer to the target.
     """
     rows = named(docs, id=id_col, text=text_col, source=source_col, **{f"keep_{c}": c for c in keep})
     rows = rows.select("id", "source", word_count(F.col("text")).alias("size"), order_key(F.col("id"), F.col("text")).alias("order_key"), *(f"keep_{c}" for c in keep))
@@ -109,6 +112,8 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.greatest(F.lit(0), F.least(F.col("size"), words - passes * F.col("source_size") - F.col("word_start")))
+    if whole:
+        left = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     placed = placed.withColumn("whole_passes", passes).withColumn("part_words", left).withColumn("taken", passes * F.col("size") + left)
     pick = (F.pmod(F.col("rank"), F.lit(len(schedule))) + 1).cast("int")
     start, end = (F.element_at(F.array(*(F.lit(float(s[i])) for s in schedule)), pick) for i in (0, 1))
@@ -148,8 +153,10 @@ def per_document(plan: DataFrame, sequence: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, columns: list[str], with_order: bool = False, **options) -> DataFrame:
-    """The mix as documents with the given columns, in training order, which the columns of ``ORDER`` carry on if asked for; a document cut at the target keeps its first words, joined by single spaces."""
+    """The mix as documents with the given columns, in training order, which the columns of ``ORDER`` carry on if asked for; a document cut at the target keeps its first words, joined by single spaces; with ``whole`` all texts stay as they are."""
     taken = schedule_mix(plan_mix(docs, keep=tuple(columns), **options))
+    if options.get("whole"):
+        return taken.select(*(F.col(f"`keep_{c}`").alias(c) for c in columns), *(ORDER if with_order else ()))
     words = F.split(F.trim(F.regexp_replace(F.col("keep_text"), r"[\x20\x09-\x0D]+", " ")), " ")
     is_cut = F.col("words") < F.col("size")
     text = F.when(is_cut, F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("keep_text"))

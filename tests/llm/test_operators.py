@@ -92,6 +92,23 @@ def test_mixing_runs_its_schedule(spark, odd, monkeypatch, tmp_path):
     assert len(rows) == odd.count() and all((r["first_position"] is None) == (r["taken"] == 0) for r in rows)
 
 
+def test_pipeline_mixes_whole_documents(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.unionByName(frame(spark, [(100 + i, "two  blanks\n" * 400, s) for i, s in enumerate("abcabc")]))
+    texts, size = {}, {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], set()).add(r["text"])
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert mixed and all(r["text"] in texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) and 0 <= r["position"] <= 1 for r in mixed)
+    for r in mixed:
+        size[r["source"]] = size.get(r["source"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    plan = mixing.plan_mix(docs).collect()
+    for source in size:
+        mine = [r for r in plan if r["source"] == source]
+        assert abs(size[source] - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1
+
+
 def test_sharding(odd, none):
     got = sharding.shard(odd, shards=4).collect()
     assert len(got) == odd.count() and {r["shard"] for r in got} <= set(range(4))
