@@ -256,6 +256,19 @@ def test_language_id_of_many_scripts(spark):
     assert all(r["lang_pred"] == r["lang"] for r in language_id.predict(many, language_id.learn(many), keep=("lang",)).collect())
 
 
+def test_pipeline_drops_unlearned_languages(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(200)) for _ in range(20)]
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(corpus_pipeline.COLUMNS)
+    strange = spark.createDataFrame([(10**9 + i, t, None, "x", len(t)) for i, t in enumerate([finnish, *noise])], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(strange), "").select("doc_id").collect()}
+    clean = {r["doc_id"] for r in docs.where("lang is not null and text rlike '[a-zA-Z]'").select("doc_id").collect()}
+    assert clean and clean <= kept and not any(i >= 10**9 for i in kept)
+
+
 def test_decontamination(spark, none):
     item = "A rather long benchmark question, about rivers and mountains and what lies between them?"
     edited = item.replace("rivers", "rovers").replace("between", "betwen")
