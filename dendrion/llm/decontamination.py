@@ -25,7 +25,8 @@ from .common import mapped, named, written
 ERROR_RATE = 0.08
 #: Normalised letters of items that are searched for at once; bounds what is sent to the executors.
 BLOCK_CHARS = 1_000_000
-#: Shorter items say too little: they match a document only as a whole.
+#: Shorter items are searched with a blank at either end, which counts as a letter of theirs, so
+#: that they occur as words and not inside of others.
 MIN_CHARS = 24
 _SIGNS = re.compile(r"[\W_]+")
 
@@ -66,15 +67,28 @@ class Matcher:
     """The automaton of one block of items: ``(item_id, normalised text)``."""
 
     def __init__(self, items: tuple[tuple[int, str], ...], error_rate: float):
+        long, short = ([(i, t) for i, t in items if (len(t) < MIN_CHARS) == is_short] for is_short in (False, True))
+        self.long = _Search([(i, t, int(len(t) * error_rate)) for i, t in long])
+        self.short = _Search([(i, f" {t} ", int(len(t) * error_rate)) for i, t in short])
+
+    def matches(self, text: str) -> list[tuple[int, int, int]]:
+        """(item_id, distance, end in the normalised text) of every item that occurs within its budget."""
+        found = self.long.matches(text)
+        if self.short.items and text:
+            # without the blanks before the text and after the item
+            found += [(i, d, min(max(end - 2, 0), len(text))) for i, d, end in self.short.matches(f" {text} ")]
+        return sorted(found)
+
+
+class _Search:
+    """The automaton of ``(item_id, text, edits allowed)``."""
+
+    def __init__(self, items: list[tuple[int, str, int]]):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items]
+        self.items = items
         pieces: dict[str, list[tuple[int, int]]] = {}
-        self.short: dict[str, list[int]] = {}
         for row, (_, t, k) in enumerate(self.items):
-            if len(t) < MIN_CHARS:
-                self.short.setdefault(t, []).append(row)
-                continue
             cuts = [len(t) * j // (k + 1) for j in range(k + 2)]
             for a, z in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(t[a:z], []).append((row, a))
@@ -86,8 +100,8 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end in the normalised text) of every item that occurs within its budget."""
-        found = [(self.items[row][0], 0, len(text)) for row in self.short.get(text, ()) if text]
+        """(item_id, distance, end in the text) of every item that occurs within its budget."""
+        found: list[tuple[int, int, int]] = []
         if not self.automaton:
             return found
         stretches: dict[int, list[list[int]]] = {}
@@ -114,7 +128,7 @@ class Matcher:
                     break
             if best[0] <= k:
                 found.append((item_id, *best))
-        return sorted(found)
+        return found
 
 
 @functools.lru_cache(maxsize=2)

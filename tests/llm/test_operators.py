@@ -279,6 +279,13 @@ def test_decontamination(spark, none):
     assert decontamination.find_items(none, bench).count() == 0 and decontamination.find_items(docs, bench.where("false")).where("size(matches) > 0").count() == 0
 
 
+def test_short_items_inside_documents(spark):
+    docs = frame(spark, [(1, LINE + "Who wrote Faust? " + LINE, "a"), (2, "who wrote faust", "a"), (3, "whowrote fausto", "a"), (4, LINE + "who wrotte faust", "a"), (5, "eyes and cats", "a"), (6, "say Yes: now", "a")])
+    bench = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "yes"), (3, "cat")], "item_id long, text string")
+    got = {r["id"]: [(m["item_id"], m["distance"], m["end"]) for m in r["matches"]] for r in decontamination.find_items(docs, bench).collect()}
+    assert got == {1: [(1, 0, len(LINE) + 15)], 2: [(1, 0, 15)], 3: [], 4: [(1, 1, len(LINE) + 16)], 5: [], 6: [(2, 0, 7)]}
+
+
 def test_myers_against_dynamic_programming():
     rng = np.random.default_rng(5)
     for _ in range(60):
