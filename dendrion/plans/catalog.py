@@ -497,6 +497,11 @@ def face_boxes(faces, verts):
     return projection.face_boxes(faces.where("face_id % 10 = 3"), verts, margin=5.0)
 
 
+@_query(", c AS (SELECT mesh_id, unnest([a, b, c]) AS vert_id FROM mesh_face)\nSELECT c.mesh_id, " + ", ".join(f"min({x}) - 5 AS min_{x}, max({x}) + 5 AS max_{x}" for x in "xyz") + " FROM c JOIN mesh_vert v ON v.mesh_id = c.mesh_id AND v.vert_id = c.vert_id GROUP BY 1", *MF)
+def all_face_boxes(faces, verts):
+    return projection.face_boxes(faces, verts, margin=5.0)
+
+
 @_query("SELECT skel_id, u - 1 AS u, v - 1 AS v FROM sk_edge WHERE u > 0", *NE)
 def without_root(nodes, edges):
     return projection.without_root(nodes, edges)[1].select("skel_id", "u", "v")

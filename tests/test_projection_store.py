@@ -70,3 +70,17 @@ def test_npz(spark, tmp_path):
     assert sorted((r["node_id"], r["vert_id"]) for r in got["node_vert"].collect()) == [(0, 7), (2, 8), (2, 9)]
     soma = {r["skel_id"][-5:]: r for r in got["soma"].collect()}
     assert soma["a.npz"]["verts"] == [7] and soma["b.npz"]["verts"] is None and soma["b.npz"]["rot"][1] == [0.0, 1.0, 0.0]
+
+
+def test_all_face_boxes_hold_every_corner(spark):
+    import __spark_entry__
+
+    duckdb = pytest.importorskip("duckdb")
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    want = sorted(con.execute(__spark_entry__.oracle_sql()["all_face_boxes"]).fetchall())
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["all_face_boxes"](spark, sf).collect())
+    assert got and [r[0] for r in got] == [r[0] for r in want]
+    assert all(a == pytest.approx(b) for g, w in zip(got, want, strict=True) for a, b in zip(g[1:], w[1:], strict=True))
