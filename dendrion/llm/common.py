@@ -49,6 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once all that was derived from them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/{scratch_root(spark).rpartition('/')[2]}/" in f:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def reclaim(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now, instead of at the driver's next garbage collection."""
     gc.collect()

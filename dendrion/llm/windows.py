@@ -1,17 +1,20 @@
-"""Kernels for repeated byte windows: sampled positions and window names (NumPy)."""
+"""Content-defined sample positions of texts, the runs between them, and their windows (NumPy)."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-from .bytehash import U, byte_values, inverse_powers, mix, powers
+from .bytehash import U, mix
 
 #: Bytes of a position's sampling key.
 GRAM = 8
 #: Text bytes handled at once; positions in a buffer take the low 24 bits of a sampling key.
 BUFFER = 1 << 20
+#: More than any text is long: texts of a batch lie this far apart on one line of positions.
+FAR = 1 << 40
 
 
 def buffers(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
@@ -38,64 +41,104 @@ def buffers(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, list[t
         yield np.frombuffer(b"".join(parts), np.uint8), spans
 
 
-def sampled_positions(data: np.ndarray, spans: list[tuple[int, int, int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(span, position, least offset, greatest offset) of runs of windows with one sampled position.
-
-    A window's position is that of its least key of ``GRAM`` bytes, the last one on ties: equal
-    windows have it at the same offset.  Windows at position - offset for offsets in a run share it.
-    """
-    n, w = len(data), width - GRAM + 1
-    if n < width:
-        return (np.zeros(0, np.int64),) * 4
-    grams = np.lib.stride_tricks.as_strided(data, (n - GRAM + 1, GRAM), (1, 1)).copy().view("<u8").ravel()
+def _in_buffer(data: np.ndarray, spans: list[tuple[int, int, int, int]], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(span, sample position, first key window that has it) in one buffer; a window has ``reach`` keys and its least one, the last on ties, is its sample."""
+    grams = np.lib.stride_tricks.as_strided(data, (len(data) - GRAM + 1, GRAM), (1, 1)).copy().view("<u8").ravel()
     key = (mix(grams + U(0x1234567)) & ~U(0xFFFFFF)) | (U(0xFFFFFF) - np.arange(len(grams), dtype=U))
-    # sliding minimum over w keys from prefix and suffix minima of blocks of w
+    # sliding minimum over ``reach`` keys from prefix and suffix minima of blocks
     m = len(key)
-    padded = np.full(-(-m // w) * w, U(0xFFFFFFFFFFFFFFFF))
+    padded = np.full(-(-m // reach) * reach, U(0xFFFFFFFFFFFFFFFF))
     padded[:m] = key
-    blocks = padded.reshape(-1, w)
+    blocks = padded.reshape(-1, reach)
     prefix = np.minimum.accumulate(blocks, axis=1).ravel()
     suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n_windows = m - w + 1
-    least = np.minimum(suffix[:n_windows], prefix[w - 1 : w - 1 + n_windows])
+    n = m - reach + 1
+    least = np.minimum(suffix[:n], prefix[reach - 1 : reach - 1 + n])
     position = (U(0xFFFFFF) - (least & U(0xFFFFFF))).astype(np.int64)
-    starts, ends = np.array([s[2] for s in spans]), np.array([s[3] - width + 1 for s in spans])
-    span = np.repeat(np.arange(len(spans)), ends - starts)
-    windows = np.arange(len(span)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts) + np.repeat(starts, ends - starts)
-    position = position[windows]
+    starts, count = np.array([s[2] for s in spans]), np.array([s[3] - s[2] - reach - GRAM + 2 for s in spans])
+    span = np.repeat(np.arange(len(spans)), count)
+    window = np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
+    position = position[window]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(position) != 0) | (np.diff(span) != 0)]))
-    last = np.concatenate([new[1:], [len(windows)]]) - 1
-    p = position[new]
-    return span[new], p, p - windows[last], p - windows[new]
-
-
-class Names:
-    """128-bit names of stretches of a buffer, equal for equal bytes."""
-
-    def __init__(self, data: np.ndarray):
-        n = 1 << max(12, int(len(data)).bit_length())
-        self.sums, self.inverse = [], []
-        for seed in (11, 12):
-            sums = np.zeros(len(data) + 1, U)
-            np.cumsum(byte_values(seed)[data] * powers(seed, n)[: len(data)], out=sums[1:])
-            self.sums.append(sums)
-            self.inverse.append(inverse_powers(seed, n))
-
-    def of(self, a: np.ndarray, z: np.ndarray, *salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the stretches [a, z), each with its salt (small integers)."""
-        out = []
-        for s, inv in zip(self.sums, self.inverse, strict=True):
-            h = mix((s[z] - s[a]) * inv[a] + (z - a).astype(U))
-            for x in salt:
-                h = mix(h * U(0x9E3779B97F4A7C15) + np.asarray(x).astype(U))
-            out.append(h.view(np.int64))
-        return out[0], out[1]
-
-
-def split_runs(lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Offset runs cut at multiples of ``size``: (run, cell, least, greatest offset)."""
-    first, last = lo // size, hi // size
-    count = last - first + 1
-    run = np.repeat(np.arange(len(lo)), count)
-    cell = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    return run, cell, np.maximum(lo[run], cell * size), np.minimum(hi[run], cell * size + size - 1)
+    return span[new], position[new], window[new]
+
+
+def samples(texts: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, first key window) of every sample, in order.
+
+    Equal strings have equal samples at equal places: whether a position is the sample of a key
+    window depends on the bytes of that window alone, and every window has one.
+    """
+    found = [(np.zeros(0, np.int64),) * 3]
+    for data, spans in buffers(texts, reach + GRAM - 1):
+        span, p, first = _in_buffer(data, spans, reach)
+        at = np.array(spans)[span]
+        shift = at[:, 1] - at[:, 2]
+        found.append((at[:, 0], p + shift, first + shift))
+    text, p, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    # the sample at the border of two stretches of one text was found in both
+    fresh = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(p) != 0)])[: len(p)]
+    return text[fresh], p[fresh], first[fresh]
+
+
+def phrase_names(texts: list[bytes], text: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit cryptographic digest of each stretch from a sample to the key of the next one, in two halves; the last sample of a text has none (zeros)."""
+    last = np.concatenate([text[1:] != text[:-1], [True]])[: len(text)]
+    out, digest = [], hashlib.blake2b
+    ends = np.concatenate([p[1:], [0]])[: len(p)] + GRAM
+    for t, a, z, stop in zip(text.tolist(), p.tolist(), ends.tolist(), last.tolist(), strict=True):
+        out.append(bytes(16) if stop else digest(texts[t][a:z], digest_size=16).digest())
+    names = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+    return names[:, 0], names[:, 1]
+
+
+class Ranks:
+    """The ranks of a batch of texts by level: level k ranks the run of 2**k stretches at a sample; 0 where it has none."""
+
+    def __init__(self):
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def put(self, level: int, place: np.ndarray, rank: np.ndarray) -> None:
+        order = np.argsort(place, kind="stable")
+        self.at[level] = (place[order], rank[order])
+
+    def get(self, level: int, place: np.ndarray) -> np.ndarray:
+        have, rank = self.at.get(level, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        if not len(have):
+            return np.zeros(len(place), np.int64)
+        i = np.minimum(np.searchsorted(have, place), len(have) - 1)
+        return np.where(have[i] == place, rank[i], 0)
+
+    def of_runs(self, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two ranks, of overlapping runs of 2**k stretches, that name a run of n at a sample; 0 and 0 if one of them is unique, and so the run."""
+        first, second = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        level = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            rows = np.flatnonzero((level == k) & (n > 0))
+            first[rows], second[rows] = self.get(int(k), place[rows]), self.get(int(k), place[rows] + n[rows] - (1 << int(k)))
+        both = (first > 0) & (second > 0)
+        return np.where(both, first, 0), np.where(both, second, 0)
+
+
+def pairs_at(place: np.ndarray, position: np.ndarray, rank: np.ndarray, offset: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, k) of ranks that stand ``offset`` samples apart in one text and not farther than ``longest`` bytes; places are sorted."""
+    k = np.minimum(np.searchsorted(place, place + offset), max(len(place) - 1, 0))
+    i = np.flatnonzero(place[k] == place + offset) if len(place) else np.zeros(0, np.int64)
+    i = i[position[k[i]] - position[i] <= longest]
+    return i, k[i]
+
+
+def pieces(first: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts [lo, hi] cut where the first or the last inner sample changes: (range, start, end, first sample, last sample).
+
+    ``first``: the first key window of each sample, ascending over the whole batch; a window's last
+    key window begins ``shift`` after it.
+    """
+    cuts = np.unique(np.concatenate([first, first - shift]))
+    a, z = np.searchsorted(cuts, lo, "right"), np.searchsorted(cuts, hi, "right")
+    count = z - a + 1
+    owner = np.repeat(np.arange(len(lo)), count)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    start = np.where(k == 0, lo[owner], cuts[np.minimum(a[owner] + k - 1, max(len(cuts) - 1, 0))] if len(cuts) else lo[owner])
+    end = np.where(k == count[owner] - 1, hi[owner], cuts[np.minimum(a[owner] + k, len(cuts) - 1)] - 1 if len(cuts) else hi[owner])
+    return owner, start, end, np.searchsorted(first, start, "right") - 1, np.searchsorted(first, start + shift, "right") - 1

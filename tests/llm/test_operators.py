@@ -142,6 +142,74 @@ def test_repeats(odd, none, width):
     assert repeats.remove_repeats(none, width=width).count() == 0
 
 
+def gone_by_force(texts, width):
+    """(bytes, removed, spans, digest of the rest) of each text, from all windows of all texts."""
+    starts = {}
+    for t in texts:
+        for i in range(len(t) - width + 1):
+            w = hash(t[i : i + width])
+            starts[w] = starts.get(w, 0) + 1
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - width + 1):
+            if starts[hash(t[i : i + width])] > 1:
+                gone[i : i + width] = True
+        out.append((len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t + b"x", np.uint8)[~gone])[:-1]).hexdigest()))
+    return out
+
+
+def judged(df):
+    return [(r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in df.orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("width", [400, 40])
+def test_repeats_of_stitched_passages(spark, width):
+    # passages of many lengths around the width, in different company, periodic runs and near copies
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("al", "be", "ga", "de", "ep") for b in ("pha", "ta", "mma", "lta", "silon")]
+    prose = lambda n: (" ".join(rng.choice(words, n // 4 + 2)))[:n]
+    shared = [prose(n) for n in (*range(width - 3, width + 4), width * 2, width * 5)] + ["a" * (width + 5), "xyz" * width]
+    texts = []
+    for i in range(60):
+        parts = [prose(int(rng.integers(0, 300)))]
+        for _ in range(int(rng.integers(1, 4))):
+            s = shared[int(rng.integers(len(shared)))]
+            if rng.random() < 0.3:
+                at = int(rng.integers(len(s)))
+                s = s[:at] + "#" + s[at + 1 :]
+            parts += [s, prose(int(rng.integers(0, 300)))]
+        texts.append("".join(parts))
+    texts += [texts[3], texts[4] + "!", texts[5][7:]]
+    got = judged(repeats.remove_repeats(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), width=width))
+    assert got == gone_by_force([t.encode() for t in texts], width)
+
+
+def test_repeats_do_not_rest_on_a_rolling_hash(spark):
+    # Thue-Morse words and their complements share all their polynomial hashes modulo a power of two
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    flipped = word.translate(str.maketrans("ab", "ba"))
+    texts = ["1 " + word + " one", "2 " + flipped + " two", "3 " + word[:500] + " three"]
+    assert judged(repeats.remove_repeats(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]))) == gone_by_force([t.encode() for t in texts], 400)
+
+
+def test_repeats_of_long_and_of_hot_texts(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefgh "), 3_000_000))
+    rows = [(0, long, "a"), (1, "head " + long[1_000_000:1_200_000] + " tail", "a"), (2, long[2_999_000:] + "end", "a"), (3, long[:399], "a"), (4, long[5:406], "a")]
+    got = {r["id"]: r for r in repeats.remove_repeats(frame(spark, rows)).collect()}
+    spans = lambda i: [(s["start"], s["end"]) for s in got[i]["spans"]]
+    # chance may let a repeat go on for a byte or two beyond what was copied
+    near = lambda found, want: len(found) == len(want) and all(abs(a - b) <= 4 for f, w in zip(found, want, strict=True) for a, b in zip(f, w, strict=True))
+    assert near(spans(0), [(5, 406), (1_000_000, 1_200_000), (2_999_000, 3_000_000)])
+    assert near(spans(1), [(5, 200_005)]) and near(spans(2), [(0, 1000)]) and spans(3) == [] and spans(4) == [(0, 401)]
+    copies = spark.range(10_000).selectExpr("id as doc_id", f"'{long[:700]}' as text").unionByName(spark.createDataFrame([(10_000, "new " + long[100:600] + " end")], "doc_id long, text string"))
+    counted = {(r["n_bytes"], r["n_removed"]): r["count"] for r in repeats.remove_repeats(copies).groupBy("n_bytes", "n_removed").count().collect()}
+    assert counted.pop((700, 700)) == 10_000 and list(counted) == [(508, 500)]
+
+
 def test_near_dedup(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] not in (None, 9)]
     sets = {}
