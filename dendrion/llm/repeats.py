@@ -192,11 +192,11 @@ def _cut_pieces(width: int):
     return run
 
 
-_ENDS = "n int, r1 long, r2 long, l_lo int, l_hi int, ends binary, t long, lo int, hi int, open boolean, c int"
+_ENDS = "h1 long, h2 long, run binary, l_lo int, l_hi int, ends binary, t long, lo int, hi int, open boolean, c int"
 
 
 def _with_ends(width: int):
-    """The bytes around the inner run of each wanted piece."""
+    """The bytes around the inner run of each wanted piece, and a digest of run, place and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _runs(batches):
@@ -205,29 +205,37 @@ def _with_ends(width: int):
             f = {name: items.field(i) for i, name in enumerate(("lo", "hi", "n", "r1", "r2", "a", "z", "open", "c"))}
             lo, hi, a, z = (_numbers(f[k]).astype(np.int64) for k in ("lo", "hi", "a", "z"))
             ends = [texts[o][p:q] + texts[o][r:e] for o, p, q, r, e in zip(owner.tolist(), lo.tolist(), a.tolist(), z.tolist(), (hi + width).tolist(), strict=True)]
+            head = np.stack([_numbers(f[k]).astype(np.int64) for k in _RUN] + [a - hi, a - lo], 1)
+            heads = [r.tobytes() for r in head]
+            h = _digests([r + e for r, e in zip(heads, ends, strict=True)])
             t = pa.array(_numbers(b.column(0))[owner])
-            yield pa.record_batch([f["n"], f["r1"], f["r2"], pa.array((a - hi).astype(np.int32)), pa.array((a - lo).astype(np.int32)), pa.array(ends, pa.binary()), t, f["lo"], f["hi"], f["open"], f["c"]], names=["n", "r1", "r2", "l_lo", "l_hi", "ends", "t", "lo", "hi", "open", "c"])
+            yield pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([r[:24] for r in heads], pa.binary()), pa.array((a - hi).astype(np.int32)), pa.array((a - lo).astype(np.int32)), pa.array(ends, pa.binary()), t, f["lo"], f["hi"], f["open"], f["c"]], names=["h1", "h2", "run", "l_lo", "l_hi", "ends", "t", "lo", "hi", "open", "c"])
 
     return run
 
 
-_WINDOWS = "n int, r1 long, r2 long, l int, h1 long, h2 long, m long, t long, s int, want boolean"
+def _digests(strings: list[bytes]) -> np.ndarray:
+    """128-bit digests as two integers each."""
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(s, digest_size=16).digest() for s in strings]), np.int64).reshape(-1, 2)
+
+
+_WINDOWS = "h1 long, h2 long, m long, t long, s int, want boolean"
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a piece by its own bytes around the run: equal runs leave windows the same number of them."""
-    digest = hashlib.blake2b
+    """Every window of a piece, named by its run, the bytes it has before it, and all its bytes around it."""
     for b in _runs(batches):
         l_lo, l_hi, lo = (_numbers(b.column(k)).astype(np.int64) for k in ("l_lo", "l_hi", "lo"))
-        names = []
-        for e, d in zip(b.column("ends").to_pylist(), (l_hi - l_lo).tolist(), strict=True):
-            q = len(e) - d
-            names += [digest(e[i : i + q], digest_size=16).digest() for i in range(d + 1)]
+        strings = []
+        for run, e, least, most in zip(b.column("run").to_pylist(), b.column("ends").to_pylist(), l_lo.tolist(), l_hi.tolist(), strict=True):
+            q = len(e) - (most - least)
+            strings += [run + (most - i).to_bytes(4, "little") + e[i : i + q] for i in range(most - least + 1)]
         o = np.repeat(np.arange(b.num_rows), l_hi - l_lo + 1)
         k = np.arange(len(o)) - np.searchsorted(o, o)
-        h = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+        h = _digests(strings)
         take = lambda c: b.column(c).take(pa.array(o))
-        yield pa.record_batch([take("n"), take("r1"), take("r2"), pa.array((l_hi[o] - k).astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), take("m"), take("t"), pa.array((lo[o] + k).astype(np.int32)), take("want")], names=["n", "r1", "r2", "l", "h1", "h2", "m", "t", "s", "want"])
+        yield pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), take("m"), take("t"), pa.array((lo[o] + k).astype(np.int32)), take("want")], names=["h1", "h2", "m", "t", "s", "want"])
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -263,12 +271,13 @@ def repeated_spans(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     spark = texts.sparkSession
     found = texts.where(F.octet_length("text") >= width).select("k1", "k2", "text")
     once = mapped(found, _sampled(width), _SAMPLES).groupBy("k1", "k2").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("c"), *(F.any_value(c).alias(c) for c in ("n_bytes", "pos", "first", "h1", "h2")))
-    base = written(once.withColumn("t", F.monotonically_increasing_id()), "repeat-samples")
+    named_base = written(once.withColumn("t", F.monotonically_increasing_id()), "repeat-samples")
+    known = written(named_base.select("t", "c", "n_bytes", "pos", "first", "k1", "k2"), "repeat-known")
     reclaim(spark)
-    levels = _doubled(base, width + 2 * reach_of(width))
-    known = base.select("t", "c", "n_bytes", "pos", "first", "k1", "k2")
+    levels = _doubled(named_base, width + 2 * reach_of(width))
+    discard(named_base)
     if not levels:
-        return base.where("false").select("k1", "k2", F.array().cast("array<struct<start:int,end:int>>").alias("found")), base.select("k1", "k2", "c", "n_bytes")
+        return known.where("false").select("k1", "k2", F.array().cast("array<struct<start:int,end:int>>").alias("found")), known.select("k1", "k2", "c", "n_bytes")
     stacked = levels[0].select("t", F.lit(0).alias("level"), "items")
     for k, level in enumerate(levels[1:], 1):
         stacked = stacked.unionByName(level.select("t", F.lit(k).alias("level"), "items"))
@@ -285,31 +294,35 @@ def repeated_spans(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     cut = written(mapped(cut, _cut_pieces(width), _PIECES), "repeat-pieces")
     discard(covers, state)
     reclaim(spark)
-    span = lambda r, lo, hi: r.select("t", F.struct(F.col(lo).cast("int").alias("start"), (F.col(hi) + width).cast("int").alias("end")).alias("span"))
-    spans = span(cut.where("n = 0"), "lo", "hi")
-
     # inner runs that an open piece shares with another piece
     alike = cut.where("n > 0").groupBy(*_RUN).agg(F.sum("c").alias("m"), F.max("open").alias("o")).where("m > 1 and o").select(_RUN)
     matched = cut.where("n > 0").join(alike, _RUN)
     wanted = matched.groupBy("t").agg(F.collect_list(F.struct("lo", "hi", "n", "r1", "r2", "a", "z", "open", "c")).alias("wanted"))
     wanted = written(known.select("t", "k1", "k2").join(wanted, "t"), "repeat-wanted")
-    ends = written(mapped(found.join(wanted, ["k1", "k2"]).select("t", F.col("text"), "wanted"), _with_ends(width), _ENDS).dropDuplicates(["t", "lo"]), "repeat-ends")
+    span = lambda r, lo, hi: r.select("t", F.struct(F.col(lo).cast("int").alias("start"), (F.col(hi) + width).cast("int").alias("end")).alias("span"))
+    sure = written(span(cut.where("n = 0"), "lo", "hi"), "repeat-settled")
+    discard(cut)
+    reclaim(spark)
+    ends = written(mapped(found.join(wanted, ["k1", "k2"]).select("t", F.col("text"), "wanted"), _with_ends(width), _ENDS), "repeat-ends")
+    discard(wanted)
     reclaim(spark)
-    whole = [*_RUN, "l_lo", "l_hi", "ends"]
-    folded = written(ends.groupBy(*whole).agg(F.sum("c").alias("m"), F.max("open").alias("o"), F.min(F.struct("t", "lo")).alias("rep")), "repeat-folded")
-    spans = spans.unionByName(span(ends.where("open").join(folded.where("m > 1 and o").select(whole), whole, "left_semi"), "lo", "hi"))
+    # the text of a row that is one of a few copies comes once for each of them
+    folded = ends.groupBy("h1", "h2").agg(F.sum("c").alias("m"), F.max("open").alias("o"), F.min("run").alias("run"), F.min(F.struct("t", "lo")).alias("rep"))
+    folded = written(folded, "repeat-folded")
+    alike = written(span(ends.where("open").join(folded.where("m > 1 and o").select("h1", "h2"), ["h1", "h2"], "left_semi"), "lo", "hi"), "repeat-alike")
     want = (F.col("m") == 1) & F.col("o")
-    mixed = folded.groupBy(*_RUN).agg(F.count(F.lit(1)).alias("d"), F.max(want).alias("u")).where("d > 1 and u").select(_RUN)
-    single = mapped(folded.join(mixed, _RUN, "left_semi").select(*whole, "m", "rep.t", "rep.lo", want.alias("want")), _single_windows, _WINDOWS)
-    single = written(single, "repeat-windows")
+    mixed = folded.groupBy("run").agg(F.count(F.lit(1)).alias("d"), F.max(want).alias("u")).where("d > 1 and u").select("run")
+    reps = folded.join(mixed, "run", "left_semi").select("rep.t", "rep.lo", "m", want.alias("want"))
+    single = ends.join(reps, ["t", "lo"]).dropDuplicates(["t", "lo"]).select("run", "l_lo", "l_hi", "ends", "m", "t", "lo", "want")
+    single = written(mapped(single, _single_windows, _WINDOWS), "repeat-windows")
+    discard(ends, folded)
     reclaim(spark)
-    keys = [*_RUN, "l", "h1", "h2"]
-    several = single.groupBy(*keys).agg(F.sum("m").alias("times"), F.max("want").alias("w")).where("times > 1 and w").select(keys)
-    spans = spans.unionByName(span(single.where("want").join(several, keys), "s", "s"))
+    several = single.groupBy("h1", "h2").agg(F.sum("m").alias("times"), F.max("want").alias("w")).where("times > 1 and w").select("h1", "h2")
+    spans = sure.unionByName(alike).unionByName(span(single.where("want").join(several, ["h1", "h2"]), "s", "s"))
     by_text = written(known.where("c < 2").select("t", "k1", "k2").join(spans.groupBy("t").agg(F.collect_list("span").alias("found")), "t").select("k1", "k2", "found"), "repeat-spans")
-    discard(cut, wanted, ends, folded, single)
+    discard(sure, alike, single)
     reclaim(spark)
-    return by_text, base.select("k1", "k2", "c", "n_bytes")
+    return by_text, known.select("k1", "k2", "c", "n_bytes")
 
 
 def _cut(with_kept: bool, width: int):
