@@ -1,8 +1,7 @@
-"""Vectorised hashing of words and byte windows (NumPy)."""
+"""Vectorised hashing of words and their shingles (NumPy)."""
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -18,30 +17,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@functools.cache
-def byte_values(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) + np.full(256, seed, U) * U(0x9E3779B97F4A7C15))
-
-
-def _odd(seed: int) -> int:
-    return int(mix(np.array([seed + 0x51ED27], U))[0]) | 1
-
-
-@functools.cache
-def powers(seed: int, n: int) -> np.ndarray:
-    """R**0 .. R**(n-1) modulo 2**64 for an odd R."""
-    out = np.full(n, _odd(seed), U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-@functools.cache
-def inverse_powers(seed: int, n: int) -> np.ndarray:
-    out = np.full(n, pow(_odd(seed), -1, 1 << 64), U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -84,22 +59,29 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, U), per_text
 
 
+#: The low k bytes of a block of eight.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    """Words are read in blocks of eight bytes, each of which is mixed into what came before; a word of one block is mixed one to one."""
+    joined = np.frombuffer(b"\n".join(texts) + b"\n" * 9, np.uint8)
     ends_of_text = np.cumsum([len(t) + 1 for t in texts])
     solid = ~_SPACE[joined]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if len(starts) == 0:
         return np.zeros(0, U), np.zeros(len(texts), np.int64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    letters = _LOWER[joined[solid]]
-    within = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
-    n = 1 << max(8, int(lengths.max()).bit_length())
-    h = np.add.reduceat(byte_values(1)[letters] * powers(1, n)[within], first)
+    blocks = np.lib.stride_tricks.as_strided(_LOWER[joined], (len(joined) - 7, 8), (1, 1))
+    h, at, left, open_ = np.zeros(len(starts), U), starts.copy(), ends - starts, np.arange(len(starts))
+    while len(open_):
+        block = blocks[at[open_]].copy().view("<u8").ravel() & _LOW[np.minimum(left[open_], 8)]
+        h[open_] = mix((h[open_] ^ block) + U(0x9E3779B97F4A7C15))
+        at[open_] += 8
+        left[open_] -= 8
+        open_ = open_[left[open_] > 0]
     per_text = np.diff(np.concatenate([[0], np.searchsorted(starts, ends_of_text)]))
-    return mix(h + lengths.astype(U)), per_text
+    return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)), per_text
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:

@@ -129,8 +129,10 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     # a hash threshold that passes about twice the sample, so the rows kept for the top-k are few
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample) / F.count(F.lit(1))).alias("share"))
     rows = rows.join(F.broadcast(shares), "lang")
-    unit = (F.xxhash64("id", F.lit("profile")).cast("double") / F.lit(2.0**63) + 1) / 2
-    picked = rows.withColumn("h", F.xxhash64("id", F.lit("profile"))).where(unit <= F.col("share")).select("lang", "h", "text")
+    # of id and text: rows may share either, or have no id
+    h = F.xxhash64("id", "text", F.lit("profile"))
+    unit = (h.cast("double") / F.lit(2.0**63) + 1) / 2
+    picked = rows.withColumn("h", h).where(unit <= F.col("share")).select("lang", "h", "text")
     picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
     grams = mapped(picked.select("lang", "text"), _gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= PROFILE).orderBy("lang", "k").collect()

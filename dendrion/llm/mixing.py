@@ -25,6 +25,8 @@ from .common import named, partitions, written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows that one bucket of the running sums holds on average.
 BUCKET_ROWS = 4096
+#: Rows that a range of the training sequence holds at most, about.
+RANGE_ROWS = 2_000_000
 #: The columns whose ascending order is the training order.
 ORDER = ("position", "order_key", "pass_no")
 
@@ -46,22 +48,36 @@ def water_fill(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, budget
     Ranks follow the code points of the source, null last.  With caps c = max_repeat * size and
     weights w, the final targets are min(c, level * w) for the one level that spends the budget;
     sources fill up in the order of c / w, so two running sums over that order give the level in
-    closed form and no loop is needed.  One row per source: the windows run over source names only.
+    closed form and no loop is needed.  Sources may be many (one per host): the sums are distributed.
     """
+    spent = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * float(budget)
+    ranked = running(sizes.withColumn("one", F.lit(1)), [F.col("source").isNull(), F.col("source")], {"rank": "one"}).drop("one")
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1).withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat)))
-    everything = Window.partitionBy()
-    by_fill = Window.orderBy(F.col("cap") / F.col("w"), "rank")
-    ranked = (
-        ranked.withColumn("spend", F.sum("source_size").over(everything) * F.lit(float(budget)))
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("w_from", F.sum("w").over(by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("level_here", (F.col("spend") - F.col("cap_before")) / F.col("w_from"))
-    )
+    ranked = ranked.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat))).withColumn("fill", F.col("cap") / F.col("w"))
+    filled = running(ranked, [F.col("fill"), F.col("rank")], {"cap_before": "cap", "w_before": "w"})
+    w_all = filled.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    level_here = (F.lit(spent) - F.col("cap_before")) / (F.lit(w_all) - F.col("w_before"))
     # the first source in filling order whose cap is above its share at the level fixes the level
-    level = F.min(F.when(F.col("level_here") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "rank", "level_here")))
-    ranked = ranked.withColumn("level", level.over(everything)["level_here"])
-    return ranked.select("source", "source_size", "rank", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("w"))).alias("target"))
+    fixed = filled.withColumn("level", level_here).where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct("fill", "rank", "level")).alias("at")).first()["at"]
+    target = F.col("cap") if fixed is None else F.least(F.col("cap"), F.lit(fixed["level"]) * F.col("w"))
+    return filled.select("source", "source_size", "rank", target.alias("target"))
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds running sums of the rows before this one, ``{new: column}``, over all rows in one order, which must tell any two apart.
+
+    Rows are dealt out in ranges of the order; only one row of totals for each range meets the others.
+    """
+    keys = [f"_o{i}" for i in range(len(order))]
+    dealt = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "mix-ranges")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())))
+    # one row for each range
+    totals = totals.select("_part", *(before(f"_s{i}", Window.orderBy("_part")).alias(f"_b{i}") for i in range(len(sums))))
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    out = dealt.join(F.broadcast(totals), "_part").withColumns({new: F.col(f"_b{i}") + before(c, inside) for i, (new, c) in enumerate(sums.items())})
+    return out.drop("_part", *keys, *(f"_b{i}" for i in range(len(sums))))
 
 
 def _position(demand: Column, target: Column, start: Column, end: Column) -> Column:
@@ -130,7 +146,7 @@ def schedule_mix(plan: DataFrame) -> DataFrame:
     rows = plan.withColumn("stretch", F.explode(F.filter(stretches, lambda s: s["words"] > 0))).select("*", "stretch.pass_no", "stretch.words").drop("stretch")
     middle = F.col("pass_no") * F.col("source_size") + F.col("word_start") + F.col("words") / 2.0
     rows = rows.withColumn("position", _position(middle, F.col("target"), F.col("w_start"), F.col("w_end")))
-    return rows.repartitionByRange(partitions(plan.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
+    return rows.repartitionByRange(max(partitions(plan.sparkSession), -(-plan.count() // RANGE_ROWS)), *ORDER).sortWithinPartitions(*ORDER)
 
 
 def scheduled(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -9,8 +9,9 @@
 3. *Families.*  Nodes that share keys are tied to the key's smallest node (a star, not all pairs),
    and connected components of those stars are families: every pair that shares a key, and so
    every linked pair, lies inside one family.
-4. *Links.*  A family is dealt into blocks of bounded size.  Inside a block all pairs are compared
-   on their full sets by matrix products, and only a spanning forest of the links leaves the task.
+4. *Links.*  A family is dealt into blocks of bounded size.  Inside a block the pairs within the
+   signature distance are the candidates.  They are confirmed on their full sets by matrix
+   products, and only a spanning forest of the links leaves the task.
    Families of several blocks are contracted by these links, dealt again so that a component's
    nodes lie together, and pairs of blocks are compared unless one component covers both.
 5. *Components* of the links are the groups; the smallest id in each stays.
@@ -96,10 +97,12 @@ def _sketch(words: int, values: int):
             sets = shingle_sets(_bytes(b.column(1)), words)
             n = np.array([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
-            keys = index_keys(signatures(full, values)).view(np.int64).ravel() if full else np.zeros(0, np.int64)
+            sigs = signatures(full, values) if full else np.zeros((0, values), U)
+            keys = index_keys(sigs).view(np.int64).ravel()
+            packed = iter(s.tobytes() for s in sigs.astype(np.uint16))
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, values, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array([_node(s) for s in sets], pa.binary()), lists], names=["id", "k1", "k2", "n_shingles", "node", "keys"])
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array([_node(s) for s in sets], pa.binary()), lists, pa.array([next(packed) if len(s) else None for s in sets], pa.binary())], names=["id", "k1", "k2", "n_shingles", "node", "keys", "sig"])
 
     return run
 
@@ -112,17 +115,39 @@ def _sets(words: int):
             sets = shingle_sets(_bytes(b.column("text")), words)
             wanted = pa.array([_node(s) == w for s, w in zip(sets, b.column("node").to_pylist(), strict=True)])
             packed = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.record_batch([b.column("node"), b.column("family"), b.column("block"), packed], names=["node", "family", "block", "shingles"]).filter(wanted)
+            yield pa.record_batch([b.column("node"), b.column("family"), b.column("block"), packed, b.column("sig")], names=["node", "family", "block", "shingles", "sig"]).filter(wanted)
 
     return run
 
 
-def linked_forest(sets: list[np.ndarray], split: int | None, per_cent: int) -> list[tuple[int, int]]:
+def signature_distance(sigs: np.ndarray) -> np.ndarray:
+    """In how many values each two of the signatures differ."""
+    out = np.zeros((len(sigs), len(sigs)), np.uint16)
+    for value in sigs.T:
+        out += value[:, None] != value[None, :]
+    return out
+
+
+def linked_forest(sets: list[np.ndarray], sigs: np.ndarray, split: int | None, per_cent: int) -> list[tuple[int, int]]:
     """(member, its component's first member) under the links between the sets.
 
-    With ``split``, only pairs of a set before it with one from it on count.  A pair is linked when
-    100 * |intersection| >= per_cent * |union|.
+    With ``split``, only pairs of a set before it with one from it on count.  A pair is linked when its
+    signatures are within the distance of the index, 2 * chunks - 1, and 100 * |intersection| >= per_cent * |union|.
     """
+    near = signature_distance(sigs) <= 2 * (sigs.shape[1] // CHUNK) - 1
+    if split is not None:
+        near[:split, :split] = False
+        near[split:, split:] = False
+    np.fill_diagonal(near, False)
+    # sets without a candidate take no part
+    rows = np.flatnonzero(near.any(axis=1))
+    if len(rows) == 0:
+        return []
+    found = _confirmed([sets[i] for i in rows], near[np.ix_(rows, rows)], per_cent)
+    return [(int(rows[j]), int(rows[i])) for j, i in found]
+
+
+def _confirmed(sets: list[np.ndarray], near: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     shingle, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -141,9 +166,7 @@ def linked_forest(sets: list[np.ndarray], split: int | None, per_cent: int) -> l
         x[row[a:z], column[a:z] - lo] = 1
         inter += x @ x.T
     link = 100 * inter.astype(np.float64) >= per_cent * (sizes[:, None] + sizes[None, :] - inter)
-    if split is not None:
-        link[:split, :split] = False
-        link[split:, split:] = False
+    link &= near
     out, seen = [], np.zeros(n, bool)
     for i in range(n):
         if seen[i]:
@@ -167,7 +190,8 @@ def _compare(per_cent: int):
         order = [i for _, _, i in sorted({(sides[i], nodes[i]): (sides[i], nodes[i], i) for i in range(len(nodes))}.values())]
         sets = [np.frombuffer(table.column("shingles")[i].as_buffer(), U) for i in order]
         split = sum(sides[i] == 0 for i in order) if any(sides) else None
-        pairs = linked_forest(sets, split, per_cent) if len(sets) > 1 else []
+        sigs = np.stack([np.frombuffer(table.column("sig")[i].as_buffer(), np.uint16) for i in order])
+        pairs = linked_forest(sets, sigs, split, per_cent) if len(sets) > 1 else []
         if len(sets) > BLOCK_NODES // 2:
             give_back()
         return pa.table({"a": pa.array([nodes[order[i]] for i, _ in pairs], pa.binary()), "b": pa.array([nodes[order[j]] for _, j in pairs], pa.binary())})
@@ -179,7 +203,8 @@ def _deal(members: DataFrame) -> DataFrame:
     """Adds ``blocks`` and ``block``: a family of one block is compared in one task, a larger one is dealt by a hash of the node."""
     family = members.groupBy("family").agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("nodes"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("nodes") / BLOCK_NODES))
-    family = family.select("family", blocks.cast("long").alias("blocks"))
+    # written, so that the join deals both sides out anew and a large family's rows can be split
+    family = written(family.select("family", blocks.cast("long").alias("blocks")), "near-families")
     return written(members.join(family, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "near-blocks")
 
 
@@ -207,7 +232,7 @@ def _links(sets: DataFrame, dealt: DataFrame, per_cent: int) -> DataFrame:
     sides = F.when(F.col("block") == F.col("block_b"), F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_b").alias("block"), F.lit(1).alias("side"))))
     sides = pairs.select("family", "pair", F.explode(sides).alias("s")).select("family", "pair", "s.block", "s.side")
     needed = placed.join(sides, ["family", "block"]).select("node", "pair", "side")
-    second = sets.select("node", "shingles").join(needed, "node").groupBy("pair").applyInArrow(_compare(per_cent), _EDGES)
+    second = sets.select("node", "shingles", "sig").join(needed, "node").groupBy("pair").applyInArrow(_compare(per_cent), _EDGES)
     return written(first.unionByName(second), "near-links-all")
 
 
@@ -225,25 +250,42 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     values = chunks_for(similarity) * CHUNK
     rows = named(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     keyed_rows = rows.select("id", "text", *text_keys(F.col("text")))
-    sketch = written(mapped(keyed_rows, _sketch(words, values), "id long, k1 long, k2 long, n_shingles long, node binary, keys array<long>"), "near-sketch")
-    nodes = sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), F.max("keys").alias("keys"))
-    nodes = written(nodes, "near-nodes")
+    sketch = written(mapped(keyed_rows, _sketch(words, values), "id long, k1 long, k2 long, n_shingles long, node binary, keys array<long>, sig binary"), "near-sketch")
+    nodes = sketch.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("keys").alias("keys"), F.max("sig").alias("sig"))
+    nodes = written(nodes.select("node", F.col("rep.id").alias("least_id"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n_shingles", "keys", "sig"), "near-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     # copies of a set were folded above, so a key's rows are different sets; partial aggregation folds hot keys
     pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     stars = keyed.join(pivots.select("key", "pivot"), "key").where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     reclaim(docs.sparkSession)
     family = components(stars).select("node", F.col("component").alias("family"))
-    dealt = _deal(family.join(nodes.select("node", "n_shingles", "least_id"), "node"))
-    # one text for each node that has company; the same folding makes its set again
-    # grows with the corpus and is no candidate for a broadcast at any size
-    wanted = dealt.select(F.col("least_id").alias("w"), "node", "family", "block").hint("merge")
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("w"))).select("node", "family", "block", "text")
-    sets = written(mapped(texts, _sets(words), "node binary, family binary, block long, shingles binary"), "near-sets")
+    dealt = _deal(family.join(nodes.select("node", "n_shingles", "least_id", "k1", "k2", "sig"), "node"))
+    texts = _one_text(keyed_rows, sketch, dealt)
+    sets = written(mapped(texts, _sets(words), "node binary, family binary, block long, shingles binary, sig binary"), "near-sets")
     reclaim(docs.sparkSession)
     return _assemble(sketch, nodes, _links(sets, dealt, per_cent))
 
 
+def _one_text(rows: DataFrame, sketch: DataFrame, dealt: DataFrame) -> DataFrame:
+    """``node, family, block, sig, text``: the text of one row of each node that has company; the same folding makes its set again.
+
+    The row is known by its text's keys and its id.  Where rows repeat both, or have no id, their
+    texts are folded first, so that copies never meet as texts.
+    """
+    # grows with the corpus and is no candidate for a broadcast at any size
+    wanted = dealt.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("least_id").alias("w"), "node", "family", "block", "sig")
+    this = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("w"))
+    times = sketch.select("id", "k1", "k2").join(wanted.select("w1", "w2", "w", "node").hint("merge"), this).groupBy("node").agg(F.count(F.lit(1)).alias("times"))
+    several = written(times.where("times > 1").select("node"), "near-repeated-rows")
+    if several.isEmpty():
+        return rows.join(wanted.hint("merge"), this).select("node", "family", "block", "sig", "text")
+    once = wanted.join(several, "node", "left_anti").hint("merge")
+    single = rows.join(once, this).select("node", "family", "block", "sig", "text")
+    more = wanted.join(several, "node", "left_semi")
+    folded = rows.join(more.select("w1", "w2", "w", "node").hint("merge"), this).groupBy("node").agg(F.any_value("text").alias("text"))
+    return single.unionByName(folded.join(more.select("node", "family", "block", "sig"), "node").select("node", "family", "block", "sig", "text"))
+
+
 def _assemble(sketch: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Components of the links, named by the least id in each, for every row."""
     comps = components(links)

@@ -62,15 +62,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer_path: str | Non
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the training sequence holds of each document, read back from the sequence; its positions are op10_training_sequence's, since the SQL has no column for them."""
+    """What the training sequence holds of each document, read back from the sequence, with its first and last training position."""
     out = mixing.per_document(*mixing.scheduled(table(spark, sf_dir, "documents")))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", *(F.round(c, 9).alias(c) for c in ("first_position", "last_position")))
 
 
 def op10_training_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per taken stretch with its training position, range-sorted by it."""
     out = mixing.schedule_mix(mixing.plan_mix(table(spark, sf_dir, "documents")))
-    return out.select(F.col("id").alias("doc_id"), "source", "pass_no", "words", "size", "position")
+    return out.select(F.col("id").alias("doc_id"), "source", F.col("pass_no").cast("long").alias("pass_no"), "words", "size", F.round("position", 9).alias("position"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,15 +126,24 @@ w AS (SELECT *, CAST([5, 2, 1][rank % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * sour
 f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
     sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from FROM w),
 l AS (SELECT arg_min((spend - cap_before) / w_from, cap / w) AS level FROM f WHERE (spend - cap_before) / w_from * w <= cap),
-t AS (SELECT f.source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM f, l),
-p AS (SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS words,
+t AS (SELECT f.source, rank, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * w) END AS target FROM f, l),
+p AS (SELECT row_number() OVER () AS row_id, doc_id, d.source, rank, size, source_size, target, CAST(round(target) AS BIGINT) AS words,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS word_start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM p)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 4) AS target,
-  CAST(passes * size + greatest(0, least(size, words - passes * source_size - word_start)) AS BIGINT) AS taken FROM q
+q AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM p),
+u AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - word_start)) AS BIGINT) AS taken FROM q),
+e AS (SELECT *, unnest(range(0, CAST(passes AS BIGINT) + 1)) AS pass_no FROM u),
+x AS (SELECT *, CASE WHEN pass_no < passes THEN size ELSE taken - passes * size END AS words_here, [1, 1, 3][rank % 3 + 1] AS ws, [1, 3, 1][rank % 3 + 1] AS we FROM e),
+y AS (SELECT *, least(1.0::DOUBLE, (pass_no * source_size + word_start + words_here / 2.0::DOUBLE) / target) * (ws + we) AS yy FROM x WHERE words_here > 0),
+seq AS (SELECT *, round(yy / (ws + sqrt(greatest(0.0::DOUBLE, ws * ws + (we - ws) * yy))), 9) AS position FROM y)
+"""
+_OP10_DOCUMENTS = f"""{_OP10}, firsts AS (SELECT row_id, min(position) AS first_position, max(position) AS last_position FROM seq GROUP BY row_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken, first_position, last_position FROM u LEFT JOIN firsts USING (row_id)
+"""
+_OP10_SEQUENCE = f"""{_OP10}
+SELECT doc_id, source, CAST(pass_no AS BIGINT) AS pass_no, CAST(words_here AS BIGINT) AS words, CAST(size AS BIGINT) AS size, position FROM seq
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": _OP4, "op6_url_filter": _OP6, "op8_exact_dedup": _OP8, "op10_mixing": _OP10}
+    return {"op4_near_dedup": _OP4, "op6_url_filter": _OP6, "op8_exact_dedup": _OP8, "op10_mixing": _OP10_DOCUMENTS, "op10_training_sequence": _OP10_SEQUENCE}

@@ -37,6 +37,8 @@ TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 400, 2 << 20, 64 << 10
 #: Compressed bytes after which a pack is closed.
 PACK_BYTES = 1 << 20
 LEVEL = 1
+#: Bytes of text that a range of the store holds at most, about; the session's shuffle partitions are the least number of ranges.
+RANGE_BYTES = 128 << 20
 _PACK = pa.schema([("range", pa.int32()), ("pack", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("dictionary", pa.string()), ("offsets", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())])
 _PACK_SQL = "range int, pack int, first_id long, last_id long, dictionary string, offsets array<long>, doc_ids array<long>, counts array<long>, payload binary"
 
@@ -104,12 +106,13 @@ def write_store(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     # whole short texts: what is short gains most from the dictionary.  A threshold on the hash passes
     # a few times as many as are needed, however many tasks look for them
     short = rows.where(F.octet_length("text") <= budget).select("text", mixed.alias("h"))
-    share = min(1.0, 8 * TRAIN_DOCS / max(1, docs.count()))
+    n, held = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, 8 * TRAIN_DOCS / max(1, n))
     sample = short.where(F.col("h") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))).orderBy("h", "text").limit(TRAIN_DOCS).select("text")
     dictionary = _train(sample, tokenizer_path, end_id)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
     keys = [*(F.col(c).asc_nulls_first() for c in (*by, "id")), F.col("h").asc()]
-    ranged = rows.withColumn("h", mixed).repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).select("id", "text")
+    ranged = rows.withColumn("h", mixed).repartitionByRange(max(partitions(spark), -(-held // RANGE_BYTES)), *keys).sortWithinPartitions(*keys).select("id", "text")
     mapped(ranged, _pack(tokenizer_path, end_id, dictionary), _PACK_SQL).write.parquet(f"{path}/packs")
     packs = spark.read.schema(_PACK_SQL).parquet(f"{path}/packs")
     # one row per range, so the window is as small as the number of partitions

@@ -23,8 +23,9 @@ from .common import fold_ascii, written
 
 #: (host, path prefix, action)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: A cascade whose filters together exceed this is refused; lists beyond it belong in several cascades, one for each hash range of hosts.
-MAX_BYTES = 64 << 20
+#: Keys that one cascade holds at most, about, listed and let through by its first level together.  A longer list is split
+#: by a hash of the keys into cascades of this size, one of which at a time is sent along with a pass over the pages.
+RANGE_KEYS = 2_000_000
 _HASHES = 4
 
 
@@ -84,9 +85,7 @@ def _fill(keys: DataFrame, seed: int, bits_per_key: float) -> tuple[Level, int]:
     n = keys.count()
     n_bits = 64 * max(1, math.ceil(n * bits_per_key / 64))
     bits = F.explode(F.array(*(_bit(F.col("key"), seed, i, n_bits) for i in range(_HASHES))))
-    # at most n_bits / 64 rows reach the driver, which MAX_BYTES bounds
-    if n_bits // 8 > MAX_BYTES:
-        raise ValueError(f"a level of {n_bits // 8} bytes exceeds {MAX_BYTES}; build one cascade for each hash range of hosts")
+    # at most n_bits / 64 rows reach the driver, which the number of keys in a range bounds
     rows = keys.select(bits.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("mask")).collect()
     words = [0] * (n_bits // 64)
     for r in rows:
@@ -116,6 +115,19 @@ def build_cascade(listed: DataFrame, universe: DataFrame, *, max_levels: int = 3
     raise ValueError("the cascade doesn't end; are the hash functions broken?")
 
 
+def _longest(cascade: Cascade, action: str, part: int, parts: int) -> Column:
+    """The longest of a row's keys that are listed in one range of a list; null without one."""
+
+    def listed(k: Column) -> Column:
+        inside = cascade.contains(k)
+        return inside if parts == 1 else (F.pmod(F.xxhash64(k, F.lit("range")), F.lit(parts)) == part) & inside
+
+    def entry(k: Column) -> Column:
+        return F.struct(F.char_length(F.substring_index(k, "\t", 1)).alias("h"), F.char_length(k).alias("n"), F.lit(action).alias("action"), k.alias("key"))
+
+    return F.array_max(F.transform(F.filter(F.col("keys"), listed), entry))
+
+
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: ``id, host, path, rule, verdict``.
 
@@ -123,20 +135,23 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     fitting rule wins, a longer host before a longer path; of a key listed with both actions,
     block wins.  Without a fitting rule the verdict is ``default``: the cascades hold all listed
     keys, and a page none of whose keys is listed is not filtered.  Null and malformed urls, with
-    empty host and path, fit no rule.  Repeated pages are judged alike; an empty table gives an
-    empty result.
+    empty host and path, fit no rule; a url of any length is read whole.  Repeated pages are judged
+    alike; other columns are ignored whatever their names; an empty table gives an empty result.
+    Lists may be of any length: see ``RANGE_KEYS``.  Rules without host or path are left out.
     """
-    rules = rules.select(F.col("action"), F.concat("host", F.lit("\t"), "path").alias("key"), F.char_length("path").alias("n"))
+    rules = rules.select(F.col("action"), F.concat("host", F.lit("\t"), "path").alias("key"), F.char_length("path").alias("n")).where("key is not null")
     lengths = sorted(r[0] for r in rules.select("n").distinct().collect())
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url")).select("id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("keys", _keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
     universe = written(rows.select(F.explode("keys").alias("key")).distinct(), "url-keys")
-    cascades = {a: build_cascade(rules.where(F.col("action") == a), universe) for a in ("block", "allow") if not rules.where(F.col("action") == a).isEmpty()}
-    def fitting(action: str) -> Column:
-        return F.transform(F.filter(F.col("keys"), cascades[action].contains), lambda k: F.struct(F.char_length(F.substring_index(k, "\t", 1)).alias("h"), F.char_length(k).alias("n"), F.lit(action).alias("action"), k.alias("key")))
-
-    found = [fitting(a) for a in cascades]
-    best = F.array_max(F.concat(*found)) if found else F.lit(None).cast("struct<h:int,n:int,action:string,key:string>")
-    out = rows.withColumn("best", best)
-    return out.select("id", "host", "path", F.translate(F.col("best.key"), "\t", "").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"))
+    best = F.lit(None).cast("struct<h:int,n:int,action:string,key:string>")
+    rows = rows.withColumn("best", best)
+    passes = [(a, r, -(-n // RANGE_KEYS)) for a, n in sorted(rules.groupBy("action").agg(F.count_distinct("key")).collect(), reverse=True) for r in range(-(-n // RANGE_KEYS))]
+    for i, (action, part, parts) in enumerate(passes, 1):
+        mine = F.pmod(F.xxhash64("key", F.lit("range")), F.lit(parts)) == part
+        cascade = build_cascade(rules.where(F.col("action") == action).where(mine), universe.where(mine))
+        rows = rows.withColumn("best", F.greatest("best", _longest(cascade, action, part, parts)))
+        # a few passes are one plan; with many, each is written, so that no plan holds more than a few cascades
+        rows = written(rows, "url-pass") if i % 4 == 0 and i < len(passes) else rows
+    return rows.select("id", "host", "path", F.translate(F.col("best.key"), "\t", "").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"))
