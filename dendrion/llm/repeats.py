@@ -288,14 +288,17 @@ def repeated_spans(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
     covers = written(mapped(state, _covers(width), _COVERS), "repeat-covers")
     kinds = covers.groupBy(*_RUN).agg(F.sum("c").alias("m"), F.min(F.struct("t", "j")).alias("rep")).where("m > 1")
+    # written, here and below, so that the join deals both sides out anew and the rows of a frequent run can be split
+    kinds = written(kinds, "repeat-kinds")
     settled = covers.join(kinds, _RUN).select("t", F.struct("j", (F.struct("t", "j") == F.col("rep")).alias("is_rep")).alias("x"))
     settled = settled.groupBy("t").agg(F.collect_list("x").alias("settled"))
     cut = state.join(settled, "t", "left").select("t", "c", "n_bytes", "pos", "first", "levels", F.coalesce("settled", F.array().cast("array<struct<j:int,is_rep:boolean>>")).alias("settled"))
     cut = written(mapped(cut, _cut_pieces(width), _PIECES), "repeat-pieces")
-    discard(covers, state)
+    discard(covers, state, kinds)
     reclaim(spark)
     # inner runs that an open piece shares with another piece
     alike = cut.where("n > 0").groupBy(*_RUN).agg(F.sum("c").alias("m"), F.max("open").alias("o")).where("m > 1 and o").select(_RUN)
+    alike = written(alike, "repeat-shared")
     matched = cut.where("n > 0").join(alike, _RUN)
     wanted = matched.groupBy("t").agg(F.collect_list(F.struct("lo", "hi", "n", "r1", "r2", "a", "z", "open", "c")).alias("wanted"))
     wanted = written(known.select("t", "k1", "k2").join(wanted, "t"), "repeat-wanted")
