@@ -78,9 +78,10 @@ def point_capsule_distance(p: Vector, a: Vector, b: Vector, ra: Column, rb: Colu
 def clipped_length(a: Vector, b: Vector, lo: tuple[float, float, float], hi: tuple[float, float, float]) -> Column:
     """Length of the part of a-b inside a closed box, by clipping the parameter range slab by slab."""
     t0, t1, outside = F.lit(0.0), F.lit(1.0), F.lit(False)
+    least = F.lit(1e-12) * F.greatest(F.lit(1.0), *(F.abs(q - p) for p, q in zip(a, b, strict=True)))
     for p, q, low, high in zip(a, b, lo, hi, strict=True):
         d = q - p
-        flat = F.abs(d) <= F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs(p))
+        flat = F.abs(d) < least
         u, v = (F.lit(low) - p) / d, (F.lit(high) - p) / d
         t0 = F.when(flat, t0).otherwise(F.greatest(t0, F.least(u, v)))
         t1 = F.when(flat, t1).otherwise(F.least(t1, F.greatest(u, v)))

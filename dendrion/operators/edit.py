@@ -77,13 +77,34 @@ def prune(nodes: DataFrame, edges: DataFrame, kind: str = "twigs", *, num_nodes:
     if kind == "twigs" and num_nodes is not None:
         return keep_listed(nodes, edges, twig_members(nodes, edges, num_nodes), drop=True)
     if kind == "nodes" and listed is not None:
-        gone = listed.select("skel_id", "node_id").distinct()
-        stay = both_ways(edges).join(gone.withColumnRenamed("node_id", "other"), ["skel_id", "other"], "left_anti").groupBy("skel_id", "node_id").agg(F.count(F.lit(1)).alias("left"))
-        hubs = degree(nodes, edges).where("degree > 2").join(stay.where("left >= 2"), ["skel_id", "node_id"])
-        return keep_listed(nodes, edges, gone.join(hubs, ["skel_id", "node_id"], "left_anti"), drop=True)
+        gone = listed.select("skel_id", "node_id").where("node_id <> 0").distinct()
+        return keep_listed(nodes, edges, gone.join(_staying_hubs(edges, gone), ["skel_id", "node_id"], "left_anti"), drop=True)
     raise ValueError("prune needs kind 'twigs' with num_nodes or kind 'nodes' with listed")
 
 
+def _staying_hubs(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Listed hubs that still join two nodes when their turn comes, by ascending id; one that stays counts for those after it.
+
+    Only listed hubs go through Python, each with its number of unlisted neighbours and its listed hub neighbours.
+    """
+    both = both_ways(norm_edges(edges))
+    hubs = both.groupBy("skel_id", "node_id").agg(F.count(F.lit(1)).alias("degree")).where("degree > 2").join(gone, ["skel_id", "node_id"]).select("skel_id", "node_id")
+    around = both.join(hubs, ["skel_id", "node_id"], "left_semi")
+    around = around.join(gone.select("skel_id", F.col("node_id").alias("other"), F.lit(True).alias("listed")), ["skel_id", "other"], "left")
+    around = around.join(hubs.select("skel_id", F.col("node_id").alias("other"), F.lit(True).alias("hub")), ["skel_id", "other"], "left")
+    rows = around.groupBy("skel_id", "node_id").agg(F.count_if(F.col("listed").isNull()).alias("free"), F.collect_list(F.when(F.col("hub"), F.col("other"))).alias("hubs"))
+
+    def judge(t):
+        t, kept = t.sort_values("node_id"), set()
+        for node, free, near in zip(t["node_id"], t["free"], t["hubs"], strict=True):
+            if free + sum(h in kept for h in near) >= 2:
+                kept.add(node)
+        return t.loc[t["node_id"].isin(kept), ["skel_id", "node_id"]]
+
+    kinds = dict(edges.dtypes)
+    return rows.groupBy("skel_id").applyInPandas(judge, f"skel_id {kinds['skel_id']}, node_id {kinds['u']}")
+
+
 def set_ntype(nodes: DataFrame, code: int, *, root: int | None = None, listed: DataFrame | None = None, subtrees: bool = True) -> DataFrame:
     """A type code for a subtree or for listed nodes; node 0 keeps its own."""
     if (root is None) == (listed is None):

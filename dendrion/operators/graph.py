@@ -8,16 +8,32 @@ so the rounds grow with the logarithm of the depth, whatever the number of skele
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables: where the cluster shares one (``spark.checkpoint.dir``), else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/graph-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames derived from them can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Written to the folder the cluster shares (or the warehouse) and read back, so a round never recomputes its predecessors."""
+    """Written to the folder the cluster shares (or the warehouse) and read back, so a round never recomputes its predecessors.  It stays until ``release``."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    path = f"{base.rstrip('/')}/graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,7 +91,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
     Each round takes the least label among the neighbours and then follows labels once, so labels
     travel exponentially far.
     """
-    both = settled(both_ways(edges).distinct())
+    both = settled(both_ways(edges))
     labels = settled(nodes.select("skel_id", "node_id", F.col("node_id").alias("component")))
     for _ in range(max_rounds):
         there = labels.select("skel_id", F.col("node_id").alias("other"), F.col("component").alias("c"))
@@ -203,14 +219,39 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 
 def subtree(nodes: DataFrame, root: int) -> DataFrame:
-    """``skel_id, node_id`` of all descendants of node ``root`` in each skeleton that has it, itself included."""
+    """``skel_id, node_id`` of all descendants of node ``root`` in each skeleton that has it, itself included: those whose climb ends there."""
     if root < 0:
         raise ValueError("a node id is not negative")
-    return ancestors(nodes).where(F.col("ancestor") == root).select("skel_id", "node_id")
+    tree = nodes.select("skel_id", "node_id", "parent_id", F.lit(0.0).alias("step"))
+    below = climb(tree, F.col("node_id") == root).where((F.col("top") == root) & (F.col("node_id") != root)).select("skel_id", "node_id")
+    return below.unionByName(nodes.where(F.col("node_id") == root).select("skel_id", "node_id"))
+
+
+def _jumps(at: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 40) -> DataFrame:
+    """Pointer doubling on ``at(skel_id, node_id, up, ..)`` until no pointer is left; ``fold(at, far)`` merges what lies behind each pointer, ``far`` having the pointer's columns as far_*."""
+    at = settled(at)
+    for _ in range(max_rounds):
+        if at.where("up is not null").isEmpty():
+            return at
+        far = at.select("skel_id", F.col("node_id").alias("up"), *(F.col(c).alias(f"far_{c}") for c in at.columns if c not in ("skel_id", "node_id")))
+        at = settled(fold(at, far))
+    raise RuntimeError("the parent pointers hold a cycle")
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
-    return ancestors(nodes).groupBy("skel_id", F.col("ancestor").alias("node_id")).agg(F.count(F.lit(1)).alias("size"))
+    """``skel_id, node_id, size``.
+
+    After k rounds a node counts its descendants fewer than 2**k steps below; those behind nodes
+    exactly that far below are added.  Work grows with nodes times the logarithm of the depth.
+    """
+
+    def fold(at: DataFrame, far: DataFrame) -> DataFrame:
+        below = at.where("up is not null").groupBy("skel_id", F.col("up").alias("node_id")).agg(F.sum("size").alias("more"))
+        grown = at.join(below, ["skel_id", "node_id"], "left").join(far.select("skel_id", "up", "far_up"), ["skel_id", "up"], "left")
+        return grown.select("skel_id", "node_id", F.col("far_up").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+
+    start = nodes.select("skel_id", "node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size"))
+    return _jumps(start, fold).select("skel_id", "node_id", "size")
 
 
 def out_of_bounds(nodes: DataFrame, box) -> DataFrame:
@@ -218,10 +259,13 @@ def out_of_bounds(nodes: DataFrame, box) -> DataFrame:
     from ..functions.geometry import in_box, parse_box, vector
 
     lo, hi = parse_box(box)
-    outside = nodes.where(~in_box(vector(), lo, hi)).select("skel_id", F.col("node_id").alias("ancestor"))
-    under = ancestors(nodes).join(outside, ["skel_id", "ancestor"])
-    # the outermost of the outside ancestors is the head
-    return under.groupBy("skel_id", "node_id").agg(F.max_by("ancestor", "hops").alias("head"))
+
+    def fold(at: DataFrame, far: DataFrame) -> DataFrame:
+        # the outermost of the outside nodes on the way is the head
+        return at.join(far, ["skel_id", "up"], "left").select("skel_id", "node_id", F.col("far_up").alias("up"), F.coalesce("far_head", "head").alias("head"))
+
+    start = nodes.select("skel_id", "node_id", F.col("parent_id").alias("up"), F.when(~in_box(vector(), lo, hi), F.col("node_id")).alias("head"))
+    return _jumps(start, fold).where("head is not null").select("skel_id", "node_id", "head")
 
 
 def suspicious_tips(nodes: DataFrame, edges: DataFrame, somas: DataFrame, near_factor: float = 1.2, path_ratio: float = 2.0) -> DataFrame:

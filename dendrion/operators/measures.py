@@ -63,6 +63,9 @@ def radius_estimates(members: DataFrame, keys: tuple[str, ...], value: str = "d"
 def _against_points(rows: DataFrame, points: DataFrame, block_points: int) -> DataFrame:
     """``rows`` with every query point (point_id, px, py, pz), block by block: a broadcast never holds many more than ``block_points`` points."""
     p = points.select("point_id", *(F.col(c).alias(f"p{c}") for c in "xyz"))
+    # every row meets every point, so that rows few enough for one task would keep one core busy
+    spark = rows.sparkSession
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     blocks = -(-p.count() // block_points)
     if blocks <= 1:
         return rows.join(F.broadcast(p))
@@ -70,17 +73,54 @@ def _against_points(rows: DataFrame, points: DataFrame, block_points: int) -> Da
     return functools.reduce(DataFrame.unionByName, (rows.join(F.broadcast(p.where(block == i))) for i in range(blocks)))
 
 
-def distances(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, radius: str | None = None, block_points: int = 100_000) -> DataFrame:
+def distances(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, radius: str | None = None, block_points: int = 100_000, allowed_nodes: DataFrame | None = None, allowed_edges: DataFrame | None = None, unit: str | None = None, point_unit: str | None = None) -> DataFrame:
     """``point_id, skel_id, distance`` of every point to every skeleton's centre line, or with ``radius`` to its surface (0 inside).
 
-    Exact: all edges count.  The points are a query set, broadcast in blocks of about
-    ``block_points``; edges never move for it, and minima combine before the shuffle.
+    Exact: all edges count, and nodes without an edge as balls.  The points are a query set, broadcast
+    in blocks of about ``block_points``; edges never move for it, and minima combine before the shuffle.
+    With ``allowed_nodes`` (skel_id, node_id) or ``allowed_edges`` (skel_id, u, v) only these nodes with
+    their edges and these edges count; skeletons with none of them have no row.  Points in another
+    unit than the skeletons' are converted, and so is the result.
     """
-    e = with_ends(nodes, edges, *([radius] if radius else []))
+    if unit is not None and point_unit is not None:
+        k = g.unit_factor(point_unit, unit)
+        points = points.withColumns({c: F.col(c) * F.lit(k) for c in "xyz"})
+    else:
+        k = 1.0
     args = (g.vector("p"), g.vector("a"), g.vector("b"))
     d = g.point_capsule_distance(*args, F.col(f"a_{radius}"), F.col(f"b_{radius}")) if radius else g.point_segment_distance(*args)
+    e = with_ends(nodes, whitelisted(nodes, edges, allowed_nodes, allowed_edges), *([radius] if radius else []))
     out = _against_points(e, points, block_points).groupBy("point_id", "skel_id").agg(F.min(d).alias("distance"))
-    return out.withColumn("distance", F.greatest("distance", F.lit(0.0))) if radius else out
+    return out.withColumn("distance", (F.greatest("distance", F.lit(0.0)) if radius else F.col("distance")) / F.lit(k))
+
+
+def whitelisted(nodes: DataFrame, edges: DataFrame, allowed_nodes: DataFrame | None = None, allowed_edges: DataFrame | None = None) -> DataFrame:
+    """``skel_id, u, v`` of the edges that count: all of them, or the listed ones and those at listed nodes; a node that counts without an edge is one of no length."""
+    e = edges.select("skel_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if allowed_nodes is None and allowed_edges is None:
+        ends = e.select("skel_id", F.explode(F.array("u", "v")).alias("node_id"))
+        alone = nodes.select("skel_id", "node_id").join(ends, ["skel_id", "node_id"], "left_anti")
+        return e.unionByName(alone.select("skel_id", F.col("node_id").alias("u"), F.col("node_id").alias("v")))
+    out = e.where("false")
+    if allowed_edges is not None:
+        listed = allowed_edges.select("skel_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v")
+        for end in ("u", "v"):
+            listed = listed.join(nodes.select("skel_id", F.col("node_id").alias(end)), ["skel_id", end], "left_semi").select("skel_id", "u", "v")
+        out = out.unionByName(listed)
+    if allowed_nodes is not None:
+        ok = allowed_nodes.select("skel_id", "node_id").join(nodes, ["skel_id", "node_id"], "left_semi").distinct()
+        out = out.unionByName(ok.select("skel_id", F.col("node_id").alias("u"), F.col("node_id").alias("v")))
+        for end in ("u", "v"):
+            out = out.unionByName(e.join(ok.withColumnRenamed("node_id", end), ["skel_id", end], "left_semi").select("skel_id", "u", "v"))
+    return out.distinct()
+
+
+def checked_points(points: list, spark) -> DataFrame:
+    """``point_id, x, y, z`` from one triple or a list of them."""
+    rows = [points] if points and not hasattr(points[0], "__len__") else list(points)
+    if any(len(p) != 3 for p in rows):
+        raise ValueError("a point has three coordinates")
+    return spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rows)], "point_id long, x double, y double, z double")
 
 
 def distances_by_nearest_nodes(points: DataFrame, nodes: DataFrame, edges: DataFrame, *, k: int = 4, radius: str | None = None, block_points: int = 100_000) -> DataFrame:
@@ -95,10 +135,26 @@ def distances_by_nearest_nodes(points: DataFrame, nodes: DataFrame, edges: DataF
     return near.join(e, ["skel_id", "node_id"]).groupBy("point_id", "skel_id").agg(F.min(d).alias("distance"))
 
 
-def nearest_skeletons(points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, radius: str | None = None) -> DataFrame:
-    """``point_id, rank, skel_id, distance``: the k nearest skeletons, ties by id."""
+def nearest_skeletons(points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, radius: str | None = None, **options) -> DataFrame:
+    """``point_id, rank, skel_id, distance``: the k nearest skeletons (all of them where there are fewer), ties by id; options as for ``distances``."""
+    if k < 1:
+        raise ValueError("k is positive")
     w = Window.partitionBy("point_id").orderBy("distance", "skel_id")
-    return distances(points, nodes, edges, radius=radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("point_id", "rank", "skel_id", "distance")
+    return distances(points, nodes, edges, radius=radius, **options).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("point_id", "rank", "skel_id", "distance")
+
+
+def structured_matches(points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, *, return_all: bool = False, **options) -> DataFrame:
+    """``point_id, x, y, z, matches`` and, if asked for, ``all_distances``: per point its nearest skeletons, or all, as an array of (rank, skel_id, distance)."""
+    if k < 1:
+        raise ValueError("k is positive")
+    d = distances(points, nodes, edges, **options)
+    entry = F.struct(F.col("distance"), F.col("skel_id"))
+    ranked = F.array_sort(F.collect_list(entry))
+    rows = d.groupBy("point_id").agg(ranked.alias("all")) if return_all else nearest_skeletons(points, nodes, edges, k, **options).groupBy("point_id").agg(ranked.alias("all"))
+    best = F.transform(F.slice("all", 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x["skel_id"].alias("skel_id"), x["distance"].alias("distance")))
+    everything = F.map_from_entries(F.transform("all", lambda x: F.struct(x["skel_id"].alias("skel_id"), x["distance"].alias("distance"))))
+    out = rows.select("point_id", best.alias("matches"), *([everything.alias("all_distances")] if return_all else []))
+    return points.select("point_id", "x", "y", "z").join(out, "point_id")
 
 
 def distance_matrix(points: DataFrame, nodes: DataFrame, edges: DataFrame, skeletons: list, radius: str | None = None) -> DataFrame:
@@ -106,49 +162,73 @@ def distance_matrix(points: DataFrame, nodes: DataFrame, edges: DataFrame, skele
     return distances(points, nodes, edges, radius=radius).groupBy("point_id").pivot("skel_id", skeletons).agg(F.min("distance"))
 
 
-def voxel_sizes(nodes: DataFrame, radius: str, max_voxels: float = 1e8) -> DataFrame:
-    """``skel_id, lo_x.., nx.., h``: a third of the lower quartile of the positive radii (or a twelfth of their first decile, if less), coarsened until the grid fits the budget."""
+def voxel_grids(nodes: DataFrame, radius: str, h: Column | float | None = None, *, box=None, somas: DataFrame | None = None, max_voxels: float = 1e8) -> DataFrame:
+    """``skel_id, lo_x.., nx.., h``: the grid over a box, or over each skeleton's balls and cell body.
+
+    A voxel is a third of the lower quartile of the positive radii (or a twelfth of their first decile,
+    if less), or ``h``, coarsened until the grid fits the budget.
+    """
     r, positive = F.col(radius), F.when(F.col(radius) > 0, F.col(radius))
     s = nodes.groupBy("skel_id").agg(*(f.alias(n) for c in "xyz" for n, f in ((f"lo_{c}", F.min(F.col(c) - r)), (f"hi_{c}", F.max(F.col(c) + r)))), F.percentile(positive, 0.25).alias("p25"), F.percentile(positive, 0.1).alias("p10"))
-    span = F.greatest(*(F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"))
-    h = F.greatest(F.coalesce(F.least(F.col("p25") / 3, F.col("p10") / 12), span / 256), F.lit(1e-6))
-    s = s.withColumn("h", h)
-    cells = lambda h: F.ceil((F.col("hi_x") - F.col("lo_x")) / h).cast("double") * F.ceil((F.col("hi_y") - F.col("lo_y")) / h) * F.ceil((F.col("hi_z") - F.col("lo_z")) / h)
-    return s.withColumn("h", F.col("h") * F.greatest(F.lit(1.0), F.cbrt(cells(F.col("h")) / F.lit(max_voxels))))
+    if box is not None:
+        s = s.withColumns({f"{n}_{c}": F.lit(v) for n, at in zip(("lo", "hi"), g.parse_box(box), strict=True) for c, v in zip("xyz", at, strict=True)})
+    elif somas is not None:
+        b = somas.select("skel_id", g.ellipsoid_box(F.col("center"), F.col("axes"), F.col("rot")).alias("b"))
+        s = s.join(b, "skel_id", "left").withColumns({k: v for i, c in enumerate("xyz") for k, v in ((f"lo_{c}", F.least(f"lo_{c}", F.col("b.lo")[i])), (f"hi_{c}", F.greatest(f"hi_{c}", F.col("b.hi")[i])))}).drop("b")
+    span = {c: F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"}
+    own = F.coalesce(F.least(F.col("p25") / 3, F.col("p10") / 12), F.greatest(*span.values()) / 256)
+    s = s.withColumn("h", F.greatest(own, F.lit(1e-6)) if h is None else h if isinstance(h, Column) else F.lit(float(h)))
+    cells = {c: F.greatest(F.lit(1), F.ceil(span[c] / F.col("h"))).cast("double") for c in "xyz"}
+    s = s.withColumn("h", F.col("h") * F.greatest(F.lit(1.0), F.cbrt(cells["x"] * cells["y"] * cells["z"] / F.lit(max_voxels))))
+    return s.select("skel_id", "lo_x", "lo_y", "lo_z", "h", *(F.greatest(F.lit(1), F.ceil(span[c] / F.col("h"))).cast("long").alias(f"n{c}") for c in "xyz"))
+
 
+def _slices(rows: DataFrame, c: str, i: str, low: Column, high: Column) -> DataFrame:
+    """One row for each voxel of an axis whose centre lies in [low, high], within the grid."""
+    at = lambda x: (x - F.col(f"lo_{c}")) / F.col("h") - 0.5
+    rows = once(rows, first=F.greatest(F.lit(0), F.ceil(at(low))).cast("long"), last=F.least(F.col(f"n{c}") - 1, F.floor(at(high))).cast("long"))
+    return rows.where("first <= last").withColumn(i, F.explode(F.sequence("first", "last"))).drop("first", "last")
 
-def occupied_voxels(nodes: DataFrame, edges: DataFrame, radius: str, h: Column | float | None = None, box=None) -> DataFrame:
-    """``skel_id, i, j, k, h``: voxels whose centre lies in a tapered edge.
 
-    The grid of a skeleton starts at its lower bounds; every edge proposes voxels slice by slice
-    around the stretch of it that is within reach of the slice; centres are tested exactly, and
-    ``distinct`` is the union.
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator, so that what reads them refers to their values and not to copies of their expressions."""
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
+def occupied_voxels(nodes: DataFrame, edges: DataFrame, radius: str, h: Column | float | None = None, box=None, *, somas: DataFrame | None = None, include_soma: bool = True) -> DataFrame:
+    """``skel_id, i, j, k, h``: voxels whose centre lies in a tapered edge or, with ``somas`` (skel_id, center, axes, rot), in the cell body; without ``include_soma`` the body is carved out.
+
+    Every edge proposes voxels slice by slice around the stretch of it that is within reach of the
+    slice; centres are tested exactly, and ``distinct`` is the union.
     """
-    grid = voxel_sizes(nodes, radius).select("skel_id", "lo_x", "lo_y", "lo_z", "h")
-    if h is not None:
-        grid = grid.withColumn("h", h if isinstance(h, Column) else F.lit(float(h)))
+    grid = voxel_grids(nodes, radius, h, box=box, somas=somas if include_soma else None)
     e = with_ends(nodes, edges, radius).join(grid, "skel_id").withColumns({"reach": F.greatest(f"a_{radius}", f"b_{radius}"), "t0": F.lit(0.0), "t1": F.lit(1.0)})
     for c, i in zip("xyz", "ijk", strict=True):
         # only the stretch of the edge that slices chosen so far leave within reach
         d = F.col(f"b{c}") - F.col(f"a{c}")
-        p, q = F.col(f"a{c}") + F.col("t0") * d, F.col(f"a{c}") + F.col("t1") * d
-        first = F.ceil((F.least(p, q) - F.col("reach") - F.col(f"lo_{c}")) / F.col("h") - 0.5).cast("long")
-        last = F.floor((F.greatest(p, q) + F.col("reach") - F.col(f"lo_{c}")) / F.col("h") - 0.5).cast("long")
-        e = e.withColumn(i, F.when(first <= last, F.sequence(first, last))).where(F.col(i).isNotNull()).withColumn(i, F.explode(i))
+        e = once(e, p=F.col(f"a{c}") + F.col("t0") * d, q=F.col(f"a{c}") + F.col("t1") * d)
+        e = _slices(e, c, i, F.least("p", "q") - F.col("reach"), F.greatest("p", "q") + F.col("reach"))
         at = F.col(f"lo_{c}") + (F.col(i) + 0.5) * F.col("h") - F.col(f"a{c}")
-        near, far = (at - F.col("reach")) / d, (at + F.col("reach")) / d
-        e = e.withColumns({"t0": F.when(d == 0, F.col("t0")).otherwise(F.greatest(F.col("t0"), F.least(near, far))), "t1": F.when(d == 0, F.col("t1")).otherwise(F.least(F.col("t1"), F.greatest(near, far)))}).where("t0 <= t1")
+        e = once(e, p=F.when(d != 0, (at - F.col("reach")) / d), q=F.when(d != 0, (at + F.col("reach")) / d))
+        e = once(e, t0=F.when(d == 0, F.col("t0")).otherwise(F.greatest("t0", F.least("p", "q"))), t1=F.when(d == 0, F.col("t1")).otherwise(F.least("t1", F.greatest("p", "q")))).where("t0 <= t1")
     center = tuple(F.col(f"lo_{c}") + (F.col(i) + 0.5) * F.col("h") for c, i in zip("xyz", "ijk", strict=True))
     inside = g.point_capsule_distance(center, g.vector("a"), g.vector("b"), F.col(f"a_{radius}"), F.col(f"b_{radius}")) <= 0
-    e = e.where(inside)
-    if box is not None:
-        e = e.where(g.in_box(center, *g.parse_box(box)))
-    return e.select("skel_id", "i", "j", "k", "h").distinct()
-
-
-def volume(nodes: DataFrame, edges: DataFrame, radius: str, h: Column | float | None = None, box=None) -> DataFrame:
-    """``skel_id, voxels, volume``."""
-    return occupied_voxels(nodes, edges, radius, h, box).groupBy("skel_id", "h").agg(F.count(F.lit(1)).alias("voxels")).select("skel_id", "voxels", (F.col("voxels") * F.col("h") * F.col("h") * F.col("h")).alias("volume"))
+    voxels = e.where(inside).select("skel_id", "i", "j", "k", "h")
+    if somas is None:
+        return voxels.distinct()
+    body = somas.select("skel_id", "center", "axes", "rot").join(grid, "skel_id").withColumn("b", g.ellipsoid_box(F.col("center"), F.col("axes"), F.col("rot")))
+    for n, (c, i) in enumerate(zip("xyz", "ijk", strict=True)):
+        body = _slices(body, c, i, F.col("b.lo")[n], F.col("b.hi")[n])
+    body = body.where(g.in_soma(center, F.col("center"), F.col("axes"), F.col("rot"))).select("skel_id", "i", "j", "k", "h")
+    return voxels.unionByName(body).distinct() if include_soma else voxels.distinct().join(body, ["skel_id", "i", "j", "k"], "left_anti")
+
+
+def volume(nodes: DataFrame, edges: DataFrame, radius: str, h: Column | float | None = None, box=None, **options) -> DataFrame:
+    """``skel_id, voxels, volume``, 0 for a skeleton without a voxel; options as for ``occupied_voxels``."""
+    v = occupied_voxels(nodes, edges, radius, h, box, **options).groupBy("skel_id", "h").agg(F.count(F.lit(1)).alias("voxels"))
+    v = v.select("skel_id", "voxels", (F.col("voxels") * F.col("h") * F.col("h") * F.col("h")).alias("volume"))
+    return nodes.select("skel_id").distinct().join(v, "skel_id", "left").select("skel_id", F.coalesce("voxels", F.lit(0)).cast("long").alias("voxels"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
 def soma_candidates(nodes: DataFrame, radius: str, percentile: float = 99.9, factor: float = 4.0, min_nodes: int = 3) -> DataFrame:

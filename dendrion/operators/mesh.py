@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..kernels import tree
 
 
 def corners(faces: DataFrame, verts: DataFrame) -> DataFrame:
@@ -57,11 +54,11 @@ def median_edge_length(faces: DataFrame, verts: DataFrame) -> DataFrame:
     return lengths.groupBy("mesh_id").agg(F.percentile("len", 0.5, F.col("n")).alias("median_len"))
 
 
-#: Barycentric sample points of a face by scheme (fixed values): centroid; with halved corners; with edge midpoints too.
+#: Barycentric sample points of a face by scheme (fixed values): the centroid; with the corners; with the edges' middles too.
 SAMPLES = {
     "1c": [(1 / 3, 1 / 3, 1 / 3)],
-    "4": [(1 / 3, 1 / 3, 1 / 3), (2 / 3, 1 / 6, 1 / 6), (1 / 6, 2 / 3, 1 / 6), (1 / 6, 1 / 6, 2 / 3)],
-    "7": [(1 / 3, 1 / 3, 1 / 3), (2 / 3, 1 / 6, 1 / 6), (1 / 6, 2 / 3, 1 / 6), (1 / 6, 1 / 6, 2 / 3), (0.5, 0.5, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5)],
+    "4": [(1 / 3, 1 / 3, 1 / 3), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)],
+    "7": [(1 / 3, 1 / 3, 1 / 3), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.5, 0.5, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5)],
 }
 
 
@@ -98,73 +95,6 @@ def density_2d(points: DataFrame, width: float, height: float, plane: str = "xy"
     return points.select(key, i.alias("i"), j.alias("j")).groupBy(key, "i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
-def geodesic_shells(xyz: np.ndarray, edges: np.ndarray, seed: int = 0, shells: int = 1000, min_size: int = 6) -> list[np.ndarray]:
-    """Clusters of vertices: per component, distances from its seed are binned and each bin is split into connected parts."""
-    length = np.linalg.norm(xyz[edges[:, 0]] - xyz[edges[:, 1]], axis=1) if len(edges) else np.zeros(0)
-    label, out = tree.labels_of(len(xyz), edges), []
-    mean = float(length.mean()) if len(length) else 1.0
-    for comp, name in enumerate(np.unique(label)):
-        verts = np.flatnonzero(label == name)
-        source = seed if label[seed] == name else int(verts[comp % len(verts)])
-        d = tree.shortest_paths(len(xyz), edges, length, source)
-        step = max(2 * mean, float(d[verts].max()) / shells)
-        shell = np.full(len(xyz), -1)
-        shell[verts] = np.floor(d[verts] / step)
-        same = edges[(shell[edges[:, 0]] == shell[edges[:, 1]]) & (label[edges[:, 0]] == name)]
-        part = tree.labels_of(len(xyz), same)
-        for k in np.unique(part[verts]):
-            members = verts[part[verts] == k]
-            if len(members) >= min_size:
-                out.append(members)
-    return out
-
-
-def _skeleton_of(xyz: np.ndarray, edges: np.ndarray, shells: int, min_size: int):
-    clusters = geodesic_shells(xyz, edges, shells=shells, min_size=min_size)
-    if not clusters:
-        return np.zeros((0, 3)), np.zeros(0), np.zeros((0, 2), int), np.full(len(xyz), -1)
-    node_of, centers, radii = np.full(len(xyz), -1), [], []
-    for i, c in enumerate(clusters):
-        node_of[c] = i
-        centers.append(xyz[c].mean(0))
-        radii.append(float(np.median(np.linalg.norm(xyz[c] - centers[-1], axis=1))))
-    e = np.sort(node_of[edges], axis=1)
-    e = np.unique(e[(e[:, 0] >= 0) & (e[:, 0] != e[:, 1])], axis=0)
-    centers = np.array(centers)
-    e = tree.bridge_gaps(centers, e) if len(centers) > 1 else e
-    return centers, np.array(radii), tree.spanning_forest(centers, e), node_of
-
-
-def skeletonize(verts: DataFrame, faces: DataFrame, *, shells: int = 1000, min_size: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Centre-line skeletons of all meshes: ``node``, ``edge`` and ``node_vert`` tables.
-
-    One mesh is one task's work (shortest paths are sequential); meshes run side by side.
-    """
-    e = mesh_edges(faces, verts)
-
-    def run(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("vert_id").reset_index(drop=True)
-        at = {k: i for i, k in enumerate(v["vert_id"])}
-        pairs = np.array([(at[a], at[b]) for a, b in zip(e["u"], e["v"], strict=True)], int).reshape(-1, 2)
-        xyz, r, bones, node_of = _skeleton_of(v[["x", "y", "z"]].to_numpy(), pairs, shells, min_size)
-        mesh = v["mesh_id"].iloc[0] if len(v) else None
-        parts = [
-            pd.DataFrame({"kind": "node", "mesh_id": mesh, "p": np.arange(len(xyz)), "q": -1, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "r": r}),
-            pd.DataFrame({"kind": "edge", "mesh_id": mesh, "p": bones[:, 0], "q": bones[:, 1], "x": 0.0, "y": 0.0, "z": 0.0, "r": 0.0}),
-            pd.DataFrame({"kind": "vert", "mesh_id": mesh, "p": node_of[node_of >= 0], "q": v["vert_id"].to_numpy()[node_of >= 0], "x": 0.0, "y": 0.0, "z": 0.0, "r": 0.0}),
-        ]
-        return pd.concat(parts, ignore_index=True)
-
-    all_rows = verts.groupBy("mesh_id").cogroup(e.groupBy("mesh_id")).applyInPandas(run, "kind string, mesh_id long, p long, q long, x double, y double, z double, r double")
-    from .graph import settled
-
-    all_rows = settled(all_rows)
-    node = all_rows.where("kind = 'node'").select(F.col("mesh_id").alias("skel_id"), F.col("p").alias("node_id"), "x", "y", "z", F.col("r").alias("r_median"), F.when(F.col("p") == 0, -1).otherwise(0).alias("ntype"))
-    edge = all_rows.where("kind = 'edge'").select(F.col("mesh_id").alias("skel_id"), F.col("p").alias("u"), F.col("q").alias("v"))
-    vert = all_rows.where("kind = 'vert'").select(F.col("mesh_id").alias("skel_id"), F.col("p").alias("node_id"), F.col("q").alias("vert_id"))
-    return node, edge, vert
-
-
 def skeleton_edges_from_mesh(mesh_edge: DataFrame, node_vert: DataFrame) -> DataFrame:
     """Mesh edges seen from the nodes their ends belong to."""
     a = node_vert.select(F.col("skel_id").alias("mesh_id"), F.col("vert_id").alias("u"), F.col("node_id").alias("p"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..kernels import tree
-from ..operators import contacts, edit, graph, measures, mesh, projection, shape
+from ..operators import contacts, edit, graph, measures, mesh, projection, shape, skeletonize as sk
 from .views import ctes, view
 
 BOX = [20, 60, 10, 100, 10, 80]
@@ -169,6 +169,41 @@ def convert_unit(nodes):
     return measures.convert_unit(nodes, "nm", "um", ("r_median",)).select("skel_id", "node_id", _r("x", "x", 6), _r("r_median", "r_median", 6))
 
 
+@_query(""", a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY skel_id ORDER BY r_median DESC, node_id) AS k FROM sk_node) WHERE k = 1),
+q AS (SELECT skel_id, quantile_cont(r_median, 0.9) AS cut FROM sk_node GROUP BY 1),
+c AS (SELECT n.*, a.node_id AS anchor, a.r_median AS big FROM sk_node n JOIN q USING (skel_id) JOIN a ON a.skel_id = n.skel_id WHERE n.r_median >= cut AND sqrt((n.x-a.x)*(n.x-a.x) + (n.y-a.y)*(n.y-a.y) + (n.z-a.z)*(n.z-a.z)) <= 10 * a.r_median),
+g AS (SELECT skel_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, max(big) AS r, max(anchor) AS anchor, min(node_id) AS least FROM c GROUP BY 1 HAVING count(*) >= 2)
+SELECT n.skel_id, CASE WHEN g.r IS NULL OR least = 0 THEN 0 ELSE anchor END AS root, round(coalesce(cx, x), 4) AS x, round(coalesce(cy, y), 4) AS y, round(coalesce(cz, z), 4) AS z, coalesce(r, r_median) AS r, r IS NOT NULL AS has_soma FROM sk_node n LEFT JOIN g USING (skel_id) WHERE node_id = 0""", "sk_node")
+def detect_soma(nodes):
+    out, mapping, soma, _ = sk.detect_soma(nodes, percentile=90, factor=10, min_nodes=2)
+    root = mapping.where("new_id = 0").select("skel_id", F.col("node_id").alias("root"))
+    return out.where("node_id = 0").join(root, "skel_id").join(soma.select("skel_id", "has_soma"), "skel_id").select("skel_id", "root", _r("x", "x"), _r("y", "y"), _r("z", "z"), F.col("r_median").alias("r"), "has_soma")
+
+
+_NEAR = """SELECT n.skel_id, n.node_id FROM sk_node n JOIN sk_node s ON s.skel_id = n.skel_id AND s.node_id = 0
+WHERE n.node_id = 0 OR NOT (sqrt((n.x-s.x)*(n.x-s.x) + (n.y-s.y)*(n.y-s.y) + (n.z-s.z)*(n.z-s.z)) <= 20 * s.r_median
+  OR (sqrt((n.x-s.x)*(n.x-s.x) + (n.y-s.y)*(n.y-s.y) + (n.z-s.z)*(n.z-s.z)) < 1.2 * 20 * s.r_median AND n.r_median > 0.2 * 20 * s.r_median))"""
+
+
+@_query(f""", kept AS ({_NEAR}), k AS (SELECT skel_id, node_id, row_number() OVER (PARTITION BY skel_id ORDER BY node_id) - 1 AS new_id FROM kept),
+m AS (SELECT n.skel_id, n.node_id, coalesce(k.new_id, 0) AS to_id FROM sk_node n LEFT JOIN k USING (skel_id, node_id))
+SELECT DISTINCT e.skel_id, least(a.to_id, b.to_id) AS u, greatest(a.to_id, b.to_id) AS v FROM sk_edge e JOIN m a ON a.skel_id = e.skel_id AND a.node_id = e.u JOIN m b ON b.skel_id = e.skel_id AND b.node_id = e.v WHERE a.to_id <> b.to_id""", *NE)
+def near_soma_edges(nodes, edges):
+    """The edges after merging, those of merged nodes attached to node 0."""
+    somas = nodes.where("node_id = 0").select("skel_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), (F.col("r_median") * 20).alias("radius"))
+    return edit.merge_near_soma(nodes, edges, somas, "r_median")[1]
+
+
+@_query(f"""{_ANC}, b AS (SELECT a.skel_id, a.node_id, a.ancestor FROM anc a JOIN sk_node p ON p.skel_id = a.skel_id AND p.node_id = a.ancestor WHERE p.parent_id = 0),
+f AS (SELECT b.skel_id, b.ancestor FROM b JOIN sk_node n USING (skel_id, node_id) JOIN sk_node s ON s.skel_id = b.skel_id AND s.node_id = 0 GROUP BY 1, 2
+  HAVING max(sqrt((n.x-s.x)*(n.x-s.x) + (n.y-s.y)*(n.y-s.y) + (n.z-s.z)*(n.z-s.z))) > 2.5 * max(s.r_median) * 20)
+SELECT skel_id, x, y, z FROM sk_node WHERE node_id = 0 UNION ALL SELECT n.skel_id, n.x, n.y, n.z FROM b JOIN f USING (skel_id, ancestor) JOIN sk_node n ON n.skel_id = b.skel_id AND n.node_id = b.node_id""", *NE, recursive=True)
+def prune_neurites_nodes(nodes, edges):
+    """The places of the nodes that stay."""
+    somas = nodes.where("node_id = 0").select("skel_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), (F.col("r_median") * 20).alias("radius"))
+    return edit.prune_neurites(nodes, edges, somas, extent=2.5)[0].select("skel_id", "x", "y", "z")
+
+
 _KEPT = ", k AS (SELECT skel_id, node_id, row_number() OVER (PARTITION BY skel_id ORDER BY node_id) - 1 AS new_id FROM sk_node WHERE node_id % 7 <> 3 OR node_id = 0)"
 
 
@@ -261,6 +296,16 @@ def acyclicity(nodes, edges):
     return graph.acyclicity(nodes, edges).select("skel_id", "n_nodes", "n_edges", "n_components", "acyclic")
 
 
+@_query(f"""{_CUT}, b2 AS (SELECT skel_id, u AS p, v AS q FROM cut UNION ALL SELECT skel_id, v, u FROM cut),
+reach AS (SELECT skel_id, node_id, node_id AS r FROM sk_node UNION SELECT b2.skel_id, b2.q, reach.r FROM reach JOIN b2 ON b2.skel_id = reach.skel_id AND b2.p = reach.node_id),
+c AS (SELECT skel_id, node_id, min(r) AS component FROM reach GROUP BY 1, 2)
+SELECT c.skel_id, max(component) = 0 AS connected, count(DISTINCT component) AS n_components, coalesce(string_agg(CASE WHEN component <> 0 THEN c.node_id END, ',' ORDER BY c.node_id), '') AS isolated, max(e.n) AS n_edges, max(e.n) = count(*) - count(DISTINCT component) AS acyclic FROM c JOIN (SELECT skel_id, count(*) AS n FROM cut GROUP BY 1) e USING (skel_id) GROUP BY 1""", *NE, recursive=True)
+def connectivity_after_clip(nodes, edges):
+    n, e = edit.clip(nodes, edges, edges.where("v % 11 = 5"))
+    a = graph.acyclicity(n, e).select("skel_id", "n_edges", "acyclic")
+    return graph.connectivity(n, e).join(a, "skel_id").select("skel_id", "connected", "n_components", F.array_join("isolated", ",").alias("isolated"), "n_edges", "acyclic")
+
+
 _T = "CASE WHEN l2 > 0 THEN greatest(0, least(1, ((p.x-ax)*(bx-ax) + (p.y-ay)*(by_-ay) + (p.z-az)*(bz-az)) / l2)) ELSE 0 END"
 _PD = f"""{_SEG}, s2 AS (SELECT *, (bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) + (bz-az)*(bz-az) AS l2 FROM seg),
 pt AS (SELECT p.point_id, s2.*, p.x AS px, p.y AS py, p.z AS pz, {_T} AS t FROM s2, sk_point p),
@@ -277,6 +322,12 @@ def point_distance_surface(nodes, edges, points):
     return measures.distances(points, nodes, edges, radius="r_median").withColumn("distance", F.round("distance", 4))
 
 
+@_query(f"""{_PD.replace(" FROM sk_edge e JOIN", " FROM (SELECT * FROM sk_edge WHERE v < 10) e JOIN")} SELECT point_id, skel_id, round(min(d), 4) AS distance FROM pd GROUP BY 1, 2""", *NE, "sk_point")
+def point_distance_allowed(nodes, edges, points):
+    """To a whitelist of edges only."""
+    return measures.distances(points, nodes, edges, allowed_edges=edges.where("v < 10")).withColumn("distance", F.round("distance", 4))
+
+
 @_query(f"{_PD} SELECT point_id, k AS rank, skel_id, round(d, 4) AS distance FROM (SELECT point_id, skel_id, d, row_number() OVER (PARTITION BY point_id ORDER BY d, skel_id) AS k FROM (SELECT point_id, skel_id, min(d) AS d FROM pd GROUP BY 1, 2)) WHERE k <= 3", *NE, "sk_point")
 def nearest_skeletons(nodes, edges, points):
     return measures.nearest_skeletons(points, nodes, edges, 3).withColumn("distance", F.round("distance", 4))
@@ -299,16 +350,36 @@ def contact_caps(nodes):
     return contacts.contact_caps(contacts.contact_seeds(nodes, "r_median")).select("a_id", "b_id", "idx_a", _r("area_a", "area_a"))
 
 
-@_query(None, "sk_node")
+_AT = lambda t, name: ", ".join(f"a{c} + {t} * ({'by_' if c == 'y' else 'b' + c} - a{c}) AS {name}{c}" for c in "xyz")
+_FAR = lambda n: "sqrt(" + " + ".join(f"(a.{n}{c}-b.{n}{c})*(a.{n}{c}-b.{n}{c})" for c in "xyz") + ")"
+_SITES = f"""{_PAIRS}, s1 AS (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY idx_a) AS seed_id, greatest(d, 1e-12) AS dd, d < ra + rb + 0.06 - 1e-12 AS touch,
+  {_AT("CASE WHEN d > 0 THEN (ra + d - rb) / (2*d) ELSE 0.5 END", "m")}, {_AT("CASE WHEN d > 0 THEN ra / d ELSE 0 END", "p")}, {_AT("CASE WHEN d > 0 THEN (d - rb) / d ELSE 0 END", "q")} FROM seed),
+s2 AS (SELECT *, greatest(-1, least(1, (dd*dd + ra*ra - (rb+0.06)*(rb+0.06)) / (2*dd*ra))) AS ca, greatest(-1, least(1, (dd*dd + rb*rb - (ra+0.06)*(ra+0.06)) / (2*dd*rb))) AS cb FROM s1),
+s3 AS (SELECT *, CASE WHEN touch THEN 2*pi()*ra*ra*(1-ca) ELSE 0 END AS area_a, CASE WHEN touch THEN 2*pi()*rb*rb*(1-cb) ELSE 0 END AS area_b,
+  CASE WHEN touch THEN ra*sqrt(greatest(0, 1-ca*ca)) ELSE 0 END AS ha, CASE WHEN touch THEN rb*sqrt(greatest(0, 1-cb*cb)) ELSE 0 END AS hb FROM s2),
+s4 AS (SELECT *, greatest(2*((ha+hb)/2 + 0.06), 0.35*greatest(ra, rb), 0.08) AS rm, greatest(2*(ha+0.06), 0.35*ra, 0.08) AS rp, greatest(2*(hb+0.06), 0.35*rb, 0.08) AS rq FROM s3),
+link AS (SELECT a.a_id, a.b_id, a.seed_id AS u, b.seed_id AS v FROM s4 a JOIN s4 b ON a.a_id = b.a_id AND a.b_id = b.b_id AND a.seed_id <> b.seed_id
+  WHERE {_FAR("m")} <= a.rm + b.rm OR {_FAR("p")} <= a.rp + b.rp OR {_FAR("q")} <= a.rq + b.rq),
+reach AS (SELECT a_id, b_id, seed_id, seed_id AS r FROM s4 UNION SELECT l.a_id, l.b_id, l.v, reach.r FROM reach JOIN link l ON l.a_id = reach.a_id AND l.b_id = reach.b_id AND l.u = reach.seed_id),
+comp AS (SELECT a_id, b_id, seed_id, min(r) AS site FROM reach GROUP BY 1, 2, 3),
+s5 AS (SELECT s4.*, site FROM s4 JOIN comp USING (a_id, b_id, seed_id)),
+fa AS (SELECT a_id, b_id, site, sum(m) AS area_a FROM (SELECT a_id, b_id, site, idx_a, max(area_a) AS m FROM s5 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+fb AS (SELECT a_id, b_id, site, sum(m) AS area_b FROM (SELECT a_id, b_id, site, idx_b, max(area_b) AS m FROM s5 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+sites AS (SELECT a_id, b_id, site, n_seeds, cx, area_a, area_b, (area_a + area_b) / 2 AS area_mean FROM (SELECT a_id, b_id, site, count(*) AS n_seeds, avg(mx) AS cx FROM s5 GROUP BY 1, 2, 3) JOIN fa USING (a_id, b_id, site) JOIN fb USING (a_id, b_id, site))"""
+
+
+def _sites(nodes):
+    return contacts.proxy_sites(contacts.contact_caps(contacts.contact_seeds(nodes, "r_median"), 0.06), tol=0.06)
+
+
+@_query(f"{_SITES} SELECT a_id, b_id, site, n_seeds, round(cx, 4) AS cx, round(area_a, 4) AS area_a, round(area_b, 4) AS area_b, round(area_mean, 4) AS area_mean FROM sites", "sk_node", recursive=True)
 def contact_sites_proxy(nodes):
-    s = contacts.proxy_sites(contacts.contact_caps(contacts.contact_seeds(nodes, "r_median")))
-    return s.select("a_id", "b_id", "site", "n_seeds", _r("area_a", "area_a"), _r("area_b", "area_b"), _r("area_mean", "area_mean"))
+    return _sites(nodes).select("a_id", "b_id", "site", "n_seeds", *(_r(c, c) for c in ("cx", "area_a", "area_b", "area_mean")))
 
 
-@_query(None, "sk_node")
+@_query(f"{_SITES} SELECT a_id, b_id, site, n_seeds, round(area_mean, 4) AS area_mean FROM sites WHERE area_mean >= 5", "sk_node", recursive=True)
 def contact_filter(nodes):
-    s = contacts.proxy_sites(contacts.contact_caps(contacts.contact_seeds(nodes, "r_median")))
-    return contacts.filter_sites(s, area_min=5.0).select("a_id", "b_id", "site", "n_seeds", _r("area_mean", "area_mean"))
+    return contacts.filter_sites(_sites(nodes), area_min=5.0).select("a_id", "b_id", "site", "n_seeds", _r("area_mean", "area_mean"))
 
 
 _IDX = lambda c, i: f"unnest(range(CAST(ceil((least(a{c}, {'by_' if c == 'y' else 'b' + c}) - r - lo_{c}) / 6 - 0.5) AS BIGINT), CAST(floor((greatest(a{c}, {'by_' if c == 'y' else 'b' + c}) + r - lo_{c}) / 6 - 0.5) AS BIGINT) + 1)) AS {i}"
@@ -324,6 +395,29 @@ def voxel_volume(nodes, edges):
     return measures.volume(nodes, edges, "r_median", 6.0).select("skel_id", "voxels", _r("volume", "volume"))
 
 
+_VOX = lambda lo, clip: f"""{_SEG}, lo AS ({lo}), s2 AS (SELECT *, greatest(ra, rb) AS r, (bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) + (bz-az)*(bz-az) AS l2 FROM seg JOIN lo USING (skel_id)),
+vi AS (SELECT *, {_IDX('x', 'i')} FROM s2), vj AS (SELECT *, {_IDX('y', 'j')} FROM vi), vk AS (SELECT *, {_IDX('z', 'k')} FROM vj WHERE j >= 0),
+p AS (SELECT *, lo_x + (i+0.5)*6 AS x, lo_y + (j+0.5)*6 AS y, lo_z + (k+0.5)*6 AS z FROM vk WHERE {clip}), q AS (SELECT *, {_T} AS t FROM p),
+tube AS (SELECT DISTINCT skel_id, i, j, k FROM q WHERE sqrt((x-ax-t*(bx-ax))*(x-ax-t*(bx-ax)) + (y-ay-t*(by_-ay))*(y-ay-t*(by_-ay)) + (z-az-t*(bz-az))*(z-az-t*(bz-az))) - CASE WHEN l2 > 0 THEN ra + t*(rb-ra) ELSE greatest(ra, rb) END <= 0)"""
+_COUNT = " SELECT n.skel_id, coalesce(c, 0) AS voxels, round(coalesce(c, 0) * 216.0::DOUBLE, 4) AS volume FROM (SELECT DISTINCT skel_id FROM sk_node) n LEFT JOIN (SELECT skel_id, count(*) AS c FROM {of} GROUP BY 1) USING (skel_id)"
+
+
+@_query(_VOX("SELECT DISTINCT skel_id, 20.0::DOUBLE AS lo_x, 10.0::DOUBLE AS lo_y, 10.0::DOUBLE AS lo_z FROM sk_node", "i BETWEEN 0 AND 6 AND j BETWEEN 0 AND 14 AND k BETWEEN 0 AND 11") + _COUNT.format(of="tube"), *NE)
+def voxel_volume_box(nodes, edges):
+    return measures.volume(nodes, edges, "r_median", 6.0, BOX).select("skel_id", "voxels", _r("volume", "volume"))
+
+
+_SOMA_LO = "SELECT skel_id, " + ", ".join(f"least(min({c} - r_median), 20) AS lo_{c}" for c in "xyz") + " FROM sk_node GROUP BY 1"
+_BALL = """, ball AS (SELECT skel_id, i, j, k FROM lo, range(0, 60) a(i), range(0, 200) b(j), range(0, 60) c(k) WHERE lo_x + (i+0.5)*6 BETWEEN 20 AND 80 AND lo_y + (j+0.5)*6 BETWEEN 20 AND 80 AND lo_z + (k+0.5)*6 BETWEEN 20 AND 80
+  AND (lo_x+(i+0.5)*6-50)*(lo_x+(i+0.5)*6-50) + (lo_y+(j+0.5)*6-50)*(lo_y+(j+0.5)*6-50) + (lo_z+(k+0.5)*6-50)*(lo_z+(k+0.5)*6-50) <= 900)"""
+
+
+@_query(_VOX(_SOMA_LO, "true") + f"{_BALL}, whole AS (SELECT * FROM tube UNION SELECT * FROM ball)" + _COUNT.format(of="whole"), *NE)
+def voxel_volume_soma(nodes, edges):
+    somas = nodes.select("skel_id").distinct().select("skel_id", _ball().alias("s")).select("skel_id", "s.*")
+    return measures.volume(nodes, edges, "r_median", 6.0, somas=somas).select("skel_id", "voxels", _r("volume", "volume"))
+
+
 MF = ("mesh_face", "mesh_vert")
 _FE = ", fe AS (SELECT mesh_id, least(a,b) AS u, greatest(a,b) AS v FROM mesh_face UNION ALL SELECT mesh_id, least(b,c), greatest(b,c) FROM mesh_face UNION ALL SELECT mesh_id, least(c,a), greatest(c,a) FROM mesh_face)"
 _VL = "sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z))"
@@ -360,9 +454,9 @@ def median_edge_length(faces, verts):
     return mesh.median_edge_length(faces, verts).withColumn("median_len", F.round("median_len", 4))
 
 
-@_query(f"{_COR} SELECT mesh_id, face_id, CAST(i AS BIGINT) AS sample_id, round(ax + q*ux + r*wx, 4) AS x FROM geo, (VALUES (0, 1/3.0::DOUBLE, 1/3.0::DOUBLE), (1, 1/6.0::DOUBLE, 1/6.0::DOUBLE), (2, 2/3.0::DOUBLE, 1/6.0::DOUBLE), (3, 1/6.0::DOUBLE, 2/3.0::DOUBLE)) s(i, q, r)", *MF)
+@_query(f"{_COR} SELECT mesh_id, face_id, CAST(i AS BIGINT) AS sample_id, round(CASE i WHEN 0 THEN (ax + (ax + ux) + (ax + wx)) / 3 WHEN 1 THEN ax WHEN 2 THEN ax + ux ELSE ax + wx END, 4) AS x, round(CASE i WHEN 0 THEN ay + (uy + wy) / 3 WHEN 1 THEN ay WHEN 2 THEN ay + uy ELSE ay + wy END, 4) AS y FROM geo, (VALUES (0), (1), (2), (3)) s(i)", *MF)
 def face_samples(faces, verts):
-    return mesh.face_samples(faces, verts, "4").select("mesh_id", "face_id", "sample_id", _r("x", "x"))
+    return mesh.face_samples(faces, verts, "4").select("mesh_id", "face_id", "sample_id", _r("x", "x"), _r("y", "y"))
 
 
 @_query("SELECT v.mesh_id, CAST(floor(sqrt((v.x-o.x)*(v.x-o.x) + (v.y-o.y)*(v.y-o.y) + (v.z-o.z)*(v.z-o.z)) / 25) AS BIGINT) AS shell, count(*) AS n FROM mesh_vert v JOIN mesh_vert o ON o.mesh_id = v.mesh_id AND o.vert_id = 0 GROUP BY 1, 2", "mesh_vert")
@@ -407,7 +501,14 @@ def _edge_frame(e: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": e[:, 0].astype("int64"), "v": e[:, 1].astype("int64")})
 
 
-@_query(None, *NE)
+_MST = """, pair AS (SELECT skel_id, u, v FROM sk_edge UNION SELECT skel_id, node_id - 2, node_id FROM sk_node WHERE node_id >= 2),
+e AS (SELECT p.skel_id, u, v, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS len FROM pair p JOIN sk_node a ON a.skel_id = p.skel_id AND a.node_id = u JOIN sk_node b ON b.skel_id = p.skel_id AND b.node_id = v),
+b2 AS (SELECT skel_id, u AS p, v AS q, u, v, len FROM e UNION ALL SELECT skel_id, v, u, u, v, len FROM e),
+r AS (SELECT skel_id, u, v, len, u AS at FROM e UNION SELECT r.skel_id, r.u, r.v, r.len, b2.q FROM r JOIN b2 ON b2.skel_id = r.skel_id AND b2.p = r.at WHERE (b2.len, b2.u, b2.v) < (r.len, r.u, r.v))
+SELECT skel_id, u, v FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.skel_id = e.skel_id AND r.u = e.u AND r.v = e.v AND r.at = e.v)"""
+
+
+@_query(_MST, *NE, recursive=True)
 def mst(nodes, edges):
     """Minimum spanning forest of the skeleton's edges with shortcuts between nodes two apart."""
     extra = nodes.where("node_id >= 2").select("skel_id", (F.col("node_id") - 2).alias("u"), F.col("node_id").alias("v"))
@@ -424,7 +525,7 @@ def bridge_gaps(nodes, edges):
 @_query(None, *NE)
 def downsample(nodes, edges):
     def run(n: pd.DataFrame, p: np.ndarray) -> pd.DataFrame:
-        xyz, r, _, _ = tree.downsample(n[["x", "y", "z"]].to_numpy(), n["r_median"].to_numpy(), p, 0.5)
+        xyz, r, _, _ = tree.downsample(n[["x", "y", "z"]].to_numpy(), n["r_median"].to_numpy(), p, 0.5, "median")
         return pd.DataFrame({"node_id": np.arange(len(r)), "x": xyz[:, 0].round(4), "y": xyz[:, 1].round(4), "z": xyz[:, 2].round(4), "r": r.round(4)})
 
     return _per_skeleton(nodes, edges, run, "skel_id long, node_id long, x double, y double, z double, r double")
@@ -437,13 +538,19 @@ def fill_labels(nodes, edges):
 
 @_query(None, *MF)
 def skeletonize(faces, verts):
-    return mesh.skeletonize(verts, faces)[0].select("skel_id", "node_id", _r("x", "x"), _r("y", "y"), _r("z", "z"), _r("r_median", "r_median"))
+    """All stages, cell bodies among them; held against meshes of known shape in tests/test_skeletonize.py."""
+    return sk.skeletonize(verts, faces).node.select("skel_id", "node_id", *(_r(c, c) for c in ("x", "y", "z", *sk.RADII)), "ntype")
+
+
+@_query(None, *MF)
+def skeletonize_edges(faces, verts):
+    return sk.skeletonize(verts, faces).edge
 
 
 @_query(None, *MF)
 def calibrate_radii(faces, verts):
-    node, edge, vert = mesh.skeletonize(verts, faces)
-    return mesh.calibrate_radii(node, edge, verts, vert).withColumn("calibrated", F.round("calibrated", 4))
+    s = sk.skeletonize(verts, faces)
+    return mesh.calibrate_radii(s.node, s.edge, verts, s.vert).withColumn("calibrated", F.round("calibrated", 4))
 
 
 @_query(None, *MF)
@@ -463,8 +570,8 @@ def contact_shapes(faces, verts):
 
 @_query(None, *MF)
 def calibrate_radii_outer(faces, verts):
-    node, edge, vert = mesh.skeletonize(verts, faces)
-    return shape.calibrate_radii(node, edge, verts, faces, vert).withColumn("calibrated", F.round("calibrated", 4))
+    s = sk.skeletonize(verts, faces)
+    return shape.calibrate_radii(s.node, s.edge, verts, faces, s.vert).withColumn("calibrated", F.round("calibrated", 4))
 
 
 _MESH_BIN = lambda c, n: f"CAST(least(floor(({c} - CASE WHEN hi_{c} > lo_{c} THEN lo_{c} ELSE lo_{c} - 0.5 END) / CASE WHEN hi_{c} > lo_{c} THEN hi_{c} - lo_{c} ELSE 1.0 END * {n}.0), {n - 1}) AS BIGINT)"

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from ..operators.graph import scratch_path
 
 VIEWS = {
     "sk_node": """
@@ -61,14 +64,29 @@ SELECT mesh_id, 2*vert_id+1, vert_id+1, vert_id+21, vert_id+20 FROM g
 _NEEDS = {"sk_node": ["events"], "sk_edge": ["sk_node"], "sk_point": ["part"], "mesh_vert": ["lineitem"], "mesh_face": ["mesh_vert"]}
 
 
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived table, or the driver's own of that name."""
+    """The derived table, or the driver's own of that name.
+
+    A derived table is written once per application, to the folder the cluster shares, and read from
+    there: queries that use it more than once, and those that follow, don't number its rows again.
+    """
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
-    for n in _NEEDS[name]:
-        sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _NEEDS[name]})
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        sql = VIEWS[name]
+        for n in _NEEDS[name]:
+            sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
+        made = spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _NEEDS[name]})
+        # as many files as tasks, so that a small table still keeps all cores busy
+        path = scratch_path(spark, "view")
+        made.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        _WRITTEN[key] = path, made.schema
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def ctes(*names: str) -> str:

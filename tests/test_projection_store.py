@@ -84,3 +84,52 @@ def test_all_face_boxes_hold_every_corner(spark):
     got = sorted(tuple(r) for r in __spark_entry__.queries()["all_face_boxes"](spark, sf).collect())
     assert got and [r[0] for r in got] == [r[0] for r in want]
     assert all(a == pytest.approx(b) for g, w in zip(got, want, strict=True) for a, b in zip(g[1:], w[1:], strict=True))
+
+
+def test_contact_archives_and_stores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from dendrion.sources import store
+
+    faces = [np.array([3, 5]), np.array([], np.int64), np.array([8])]
+    ptr = lambda x: np.concatenate([[0], np.cumsum([len(v) for v in x])])
+    points = [np.array([[1.0, 2, 3]]), np.zeros((0, 3)), np.array([[4.0, 5, 6], [7, 8, 9]])]
+    common = dict(faces_A_data=np.concatenate(faces), faces_A_ptr=ptr(faces), faces_B_data=np.zeros(0, np.int64), faces_B_ptr=np.zeros(4, np.int64), pairs_flag=np.array(1, np.uint8), pairs_AB_data=np.concatenate(points), pairs_AB_ptr=ptr(points), area_A=np.array([1.0, 2, 3]), area_B=np.zeros(3), area_mean=np.array([0.5, 1, 1.5]), seeds_A=np.zeros((3, 3)), seeds_B=np.ones((3, 3)), bbox=np.zeros((3, 2, 3)))
+    np.savez(tmp_path / "new.npz", **common, meta_json=np.array(store.encode_meta({"b": np.float64(2), "a": [1]})), stats_A_keys=np.array(["aspect"]), stats_A__aspect=np.array([1.5, np.nan, 2.5]), _schema=np.array(store.CONTACT_SCHEMA))
+    np.savez(tmp_path / "old.npz", **{k: v for k, v in common.items() if k != "pairs_flag"}, meta_json=np.array('{"stats_B": {"n_faces": [1, 2, 3]}}'))
+    got = store.read_contact_npz(spark, str(tmp_path))
+    sites = {(r["pair_id"][-7:], r["site"]): r for r in got["contact_site"].collect()}
+    assert len(sites) == 6 and sites["new.npz", 2]["stats_a"] == {"aspect": 2.5} and sites["new.npz", 1]["stats_a"] == {"aspect": None} and sites["new.npz", 0]["stats_b"] is None
+    assert sites["old.npz", 1]["stats_b"] == {"n_faces": 2.0} and sites["old.npz", 0]["bbox_a"] is None and sites["old.npz", 0]["bbox"] == [0.0] * 6
+    assert [(r["site"], r["face_id"]) for r in got["contact_face"].where("pair_id like '%new.npz'").orderBy("site", "pos").collect()] == [(0, 3), (0, 5), (2, 8)]
+    assert got["contact_pair"].count() == 3 and {r["schema"] for r in got["meta"].collect()} == {store.CONTACT_SCHEMA, None}
+    meta = got["meta"].where("schema is not null").select(store.decode_meta(F.col("meta")).alias("m")).selectExpr("try_variant_get(m, '$.b', 'double') as b").first()
+    assert meta["b"] == 2.0 and spark.range(1).select(store.decode_meta(F.lit("no json")).alias("m")).selectExpr("variant_get(m, '$._raw', 'string') as r").first()["r"] == "no json"
+    store.write_contact_sites({k: v for k, v in got.items() if k != "meta"}, str(tmp_path / "store"), meta={"unit": "nm"})
+    back = store.read_contact_sites(spark, str(tmp_path / "store"))
+    assert back["contact_site"].count() == 6 and back["meta"].first()["schema"] == store.CONTACT_SCHEMA
+    seeds = spark.createDataFrame([(r, i, i % 3) for r in ("p", "q") for i in range(6)], "pair_id string, seed_id long, site long")
+    mine = spark.createDataFrame([(r, i, float(i)) for r in ("p", "q") for i in range(3)], "pair_id string, site long, area_mean double")
+    left, seeds, _ = store.subset_sites(mine, F.col("area_mean") >= 1, seeds)
+    assert sorted((r["pair_id"], r["site"], r["area_mean"]) for r in left.collect()) == [("p", 0, 1.0), ("p", 1, 2.0), ("q", 0, 1.0), ("q", 1, 2.0)]
+    assert sorted(r["site"] for r in seeds.where("pair_id = 'p'").collect()) == [-1, -1, 0, 0, 1, 1]
+
+
+def test_ragged_lists_and_swc_metadata(spark, tmp_path):
+    from dendrion.sources import store
+    from dendrion.sources.text_formats import read_swc, swc_meta, write_swc
+
+    rows = [("k", i, pos, v) for i, vs in enumerate([[5, 6], [7], [8, 9, 10]]) for pos, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "key string, i long, pos long, v long")
+    data, spans = store.pack_ragged(df, "key", "pos", ("v",), "i")
+    assert [r["v"] for r in data.orderBy("at").collect()] == [5, 6, 7, 8, 9, 10] and [(r["start"], r["end"]) for r in spans.orderBy("i").collect()] == [(0, 2), (2, 3), (3, 6)]
+    assert sorted(tuple(r) for r in store.unpack_ragged(data, spans, "key", ("v",), "i").select("key", "i", "pos", "v").collect()) == sorted(rows)
+    (tmp_path / "b.swc").write_text('# id: 7\n# meta {"unit": "nm", "n": 3}\n# plain words\n1 1 0 0 0 2 -1\n2.0 3.0 1 0 0 1 1.0\nbad line\n')
+    meta = swc_meta(spark, str(tmp_path / "b.swc"))
+    assert meta.first()["meta"] == {"id": "7", "unit": "nm", "n": "3"}
+    node, edge, _ = read_swc(spark, str(tmp_path / "b.swc"))
+    assert node.count() == 2 and edge.count() == 1
+    flat = lambda df, c: df.withColumn("skel_id", df[c] * 0)
+    one = meta.selectExpr("0L as skel_id", "meta")
+    write_swc(flat(node, "node_id"), flat(edge, "u"), str(tmp_path / "out"), meta=one)
+    assert swc_meta(spark, str(tmp_path / "out")).first()["meta"]["unit"] == "nm"
