@@ -61,7 +61,8 @@ def test_skeletons_of_tubes(built):
     tips = [r["x"] for r in nodes[1].values()]
     assert min(tips) < 4 and max(tips) > 55
     for k, r in nodes[1].items():
-        if not soma[1]["has_soma"] or k:
+        # bins at the ends are arcs around the seed, not rings
+        if 3 < r["x"] < 57 and (k or not soma[1]["has_soma"]):
             assert abs(r["y"]) < 1 and abs(r["z"]) < 1 and 1.0 < r["r_median"] < 3.5
     v = s.vert.groupBy("skel_id").agg(F.count_distinct("vert_id").alias("n"))
     assert all(r["n"] > 0 for r in v.collect())
