@@ -98,15 +98,22 @@ def _sketch(words: int, values: int):
             n = np.array([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
             sigs = signatures(full, values) if full else np.zeros((0, values), U)
-            keys = index_keys(sigs).view(np.int64).ravel()
             packed = iter(s.tobytes() for s in sigs.astype(np.uint16))
-            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, values, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array([_node(s) for s in sets], pa.binary()), lists, pa.array([next(packed) if len(s) else None for s in sets], pa.binary())], names=["id", "k1", "k2", "n_shingles", "node", "keys", "sig"])
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(n), pa.array([_node(s) for s in sets], pa.binary()), pa.array([next(packed) if len(s) else None for s in sets], pa.binary())], names=["id", "k1", "k2", "n_shingles", "node", "sig"])
 
     return run
 
 
+def _listed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, keys``: made from the signatures whenever they are needed, since they take four times their room on disk."""
+    for b in (r for b in batches for r in _runs(b) if r.num_rows):
+        sigs = np.stack([np.frombuffer(s, np.uint16) for s in b.column("sig").to_pylist()]).astype(U)
+        keys = index_keys(sigs)
+        offsets = np.arange(len(sigs) + 1, dtype=np.int32) * np.int32(keys.shape[1])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+        yield pa.record_batch([b.column("node"), lists], names=["node", "keys"])
+
+
 def _sets(words: int):
     """Shingle sets of the wanted nodes; an id that several texts share may bring others, which are left out."""
 
@@ -250,15 +257,17 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     values = chunks_for(similarity) * CHUNK
     rows = named(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     keyed_rows = rows.select("id", "text", *text_keys(F.col("text")))
-    sketch = written(mapped(keyed_rows, _sketch(words, values), "id long, k1 long, k2 long, n_shingles long, node binary, keys array<long>, sig binary"), "near-sketch")
-    nodes = sketch.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("keys").alias("keys"), F.max("sig").alias("sig"))
-    nodes = written(nodes.select("node", F.col("rep.id").alias("least_id"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n_shingles", "keys", "sig"), "near-nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sketch = written(mapped(keyed_rows, _sketch(words, values), "id long, k1 long, k2 long, n_shingles long, node binary, sig binary"), "near-sketch")
+    nodes = sketch.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
+    nodes = written(nodes.select("node", F.col("rep.id").alias("least_id"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n_shingles", "sig"), "near-nodes")
+    keyed = mapped(nodes.select("node", "sig"), _listed_keys, "node binary, keys array<long>").select("node", F.explode("keys").alias("key"))
     # copies of a set were folded above, so a key's rows are different sets; partial aggregation folds hot keys
     pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
     stars = keyed.join(pivots.select("key", "pivot"), "key").where("node > pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     reclaim(docs.sparkSession)
     family = components(stars).select("node", F.col("component").alias("family"))
+    # the keys' shuffles are the largest of all and done with: they go before the texts are shuffled
+    reclaim(docs.sparkSession)
     dealt = _deal(family.join(nodes.select("node", "n_shingles", "least_id", "k1", "k2", "sig"), "node"))
     texts = _one_text(keyed_rows, sketch, dealt)
     sets = written(mapped(texts, _sets(words), "node binary, family binary, block long, shingles binary, sig binary"), "near-sets")
@@ -309,8 +318,13 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     groups = near_groups(docs, **options).where("group is not null")
     least = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("w"))
     stay = written(least.select(F.col("w.id").alias("_id"), F.col("w.k1").alias("_k1"), F.col("w.k2").alias("_k2")), "near-stay")
+    repeated = groups.groupBy("id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    once = repeated.isEmpty()
+    reclaim(docs.sparkSession)
     k1, k2 = text_keys(F.col(f"`{text_col}`"))
     has_words = F.coalesce(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = docs.where(has_words).withColumns({"_a1": k1, "_a2": k2})
     found = keyed.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left_semi")
-    return found.dropDuplicates([id_col, "_a1", "_a2"]).drop("_a1", "_a2").unionByName(docs.where(~has_words))
+    # without repeated rows the texts needn't be shuffled once more to fold them
+    found = found if once else found.dropDuplicates([id_col, "_a1", "_a2"])
+    return found.drop("_a1", "_a2").unionByName(docs.where(~has_words))
