@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, mixing, near_dedup, repeats, sharding, token_counts, token_store, url_filter
+from . import alignment, decontamination, exact_dedup, language_id, mixing, near_dedup, repeats, sharding, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -73,6 +73,11 @@ def op10_training_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "source", F.col("pass_no").cast("long").alias("pass_no"), "words", "size", F.round("position", 9).alias("position"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    a_path, b_path = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), a_path=a_path, b_path=b_path).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_repeats, op3_token_store, op4_near_dedup, op5_sharding, op6_url_filter, op7_language_id, op8_exact_dedup, op9_token_counts, op10_mixing, op10_training_sequence, pipeline)
+    ops = (op1_decontamination, op2_repeats, op3_token_store, op4_near_dedup, op5_sharding, op6_url_filter, op7_language_id, op8_exact_dedup, op9_token_counts, op10_mixing, op10_training_sequence, op13_token_alignment, pipeline)
     return {f.__name__: f for f in ops}
 
 
