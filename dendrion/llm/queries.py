@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, exact_dedup, language_id, mixing, near_dedup, repeats, sharding, token_counts, token_store, url_filter
+from . import alignment, decontamination, exact_dedup, language_id, mixing, near_dedup, repeats, runs, secret_scan, sharding, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -73,6 +73,50 @@ def op10_training_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "source", F.col("pass_no").cast("long").alias("pass_no"), "words", "size", F.round("position", 9).alias("position"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are the repositories, their sources the owners."""
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    having = lambda field, value: F.size(F.filter("spans", lambda s: s[field] == value)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "bare")
+    return out.select(
+        F.col("id").alias("doc_id"),
+        *(having("kind", k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+        *(having("verdict", v).alias(f"n_{v}") for v in ("live", "copied")),
+    )
+
+
+def made_periodic(id_: Column, text: Column) -> Column:
+    """The texts of the contract: with h = crc32 of the decimal id, one text in ten repeats a stretch of its words up to its end."""
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    h = F.crc32(id_.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    n = F.size(words)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    # p words are repeated at most eleven times
+    block = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(block, F.lit(1), (n - a).cast("int"))), " ")
+    return F.when((h % 10 == 0) & (F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) != ""), repeated).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    out = runs.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = F.col("strongest")
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     a_path, b_path = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align_tokens(table(spark, sf_dir, "documents"), a_path=a_path, b_path=b_path).withColumnRenamed("id", "doc_id")
@@ -85,7 +129,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_repeats, op3_token_store, op4_near_dedup, op5_sharding, op6_url_filter, op7_language_id, op8_exact_dedup, op9_token_counts, op10_mixing, op10_training_sequence, op13_token_alignment, pipeline)
+    ops = (op1_decontamination, op2_repeats, op3_token_store, op4_near_dedup, op5_sharding, op6_url_filter, op7_language_id, op8_exact_dedup, op9_token_counts, op10_mixing, op10_training_sequence, op11_secret_scan, op12_periodic_runs, op13_token_alignment, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -150,5 +194,36 @@ SELECT doc_id, source, CAST(pass_no AS BIGINT) AS pass_no, CAST(words_here AS BI
 """
 
 
+def _any_case(name: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+_OP11_PATTERNS = {
+    "assign": f"""({"|".join(map(_any_case, secret_scan.NAMES))})["'']?\\x20*[:=]\\x20*["'']?([{secret_scan.VALUE}]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]{24,}",
+    "bare": f"[{secret_scan.BARE}]{{20,}}",
+}
+_OP11 = f"""
+WITH k(kind, k, least) AS (VALUES {", ".join(f"('{k}', {i}, {secret_scan.LEAST[k]})" for i, k in enumerate(secret_scan.KINDS))}),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+pieces AS ({" UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS kind, unnest(string_split_regex(text, '{p}')[:-2]) AS piece, unnest(regexp_extract_all(text, '{p}')) AS hit, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i FROM d" for k, p in _OP11_PATTERNS.items())}),
+placed AS (SELECT *, CAST(sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS z,
+  CASE WHEN kind = 'assign' THEN regexp_extract(hit, '{_OP11_PATTERNS["assign"]}', 2) ELSE hit END AS value FROM pieces),
+long AS (SELECT doc_id, source, kind, k, z - length(hit) AS a, z, value,
+  len(list_distinct(string_split(value, ''))) >= {secret_scan.DISTINCT_SIGNS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AS random
+  FROM placed JOIN k USING (kind) WHERE length(value) >= least),
+c AS (SELECT * FROM long l WHERE kind <> 'bare' OR random AND NOT EXISTS (SELECT 1 FROM long b WHERE b.doc_id = l.doc_id AND b.kind <> 'bare' AND b.a < l.z AND b.z > l.a)),
+f AS (SELECT value, count(DISTINCT coalesce(source, '-')) AS owners, count(DISTINCT doc_id) AS repositories FROM c GROUP BY value),
+v AS (SELECT c.*, CASE WHEN owners > 2 OR repositories > 20 THEN 'copied' WHEN random THEN 'live' ELSE 'weak' END AS verdict FROM c JOIN f USING (value)),
+s AS (SELECT * FROM v WHERE kind <> 'bare' OR verdict = 'live'),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))},
+  string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) FILTER (kind <> 'bare') AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) AS spans,
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_copied"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": _OP4, "op6_url_filter": _OP6, "op8_exact_dedup": _OP8, "op10_mixing": _OP10_DOCUMENTS, "op10_training_sequence": _OP10_SEQUENCE}
+    return {"op4_near_dedup": _OP4, "op6_url_filter": _OP6, "op8_exact_dedup": _OP8, "op10_mixing": _OP10_DOCUMENTS, "op10_training_sequence": _OP10_SEQUENCE, "op11_secret_scan": _OP11}
