@@ -24,8 +24,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What keeps paths of tables in the folder, and must forget them when it goes.
+ON_RELEASE: list[Callable[[], None]] = []
+
+
 def release(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; frames derived from them can't be read afterwards."""
+    """Delete this application's intermediate tables; frames derived from them can't be read afterwards, queries make them anew."""
+    for forget in ON_RELEASE:
+        forget()
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -204,20 +210,6 @@ def branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return up.join(ends, ["skel_id", "node_id"]).select("skel_id", "top", F.col("node_id").alias("bottom"), (F.col("hops") + 1).alias("length"))
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """``skel_id, node_id, ancestor, hops``: each node with itself and all of its ancestors, by doubling reach."""
-    base = nodes.select("skel_id", "node_id", "parent_id")
-    pairs = settled(base.select("skel_id", "node_id", F.col("node_id").alias("ancestor"), F.lit(0).cast("long").alias("hops")).unionByName(base.where("parent_id is not null").select("skel_id", "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).cast("long").alias("hops"))))
-    reach = 1
-    while True:
-        far = pairs.where(F.col("hops") == reach)
-        more = far.select("skel_id", "node_id", F.col("ancestor").alias("mid")).join(pairs.where("hops > 0").select("skel_id", F.col("node_id").alias("mid"), "ancestor", "hops"), ["skel_id", "mid"]).select("skel_id", "node_id", "ancestor", (F.col("hops") + reach).alias("hops"))
-        more = settled(more)
-        if more.isEmpty():
-            return pairs
-        pairs, reach = settled(pairs.unionByName(more)), reach * 2
-
-
 def subtree(nodes: DataFrame, root: int) -> DataFrame:
     """``skel_id, node_id`` of all descendants of node ``root`` in each skeleton that has it, itself included: those whose climb ends there."""
     if root < 0:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .nearest import Index, index, nearest
 
 
 def with_ends(nodes: DataFrame, edges: DataFrame, *radii: str) -> DataFrame:
@@ -135,22 +136,38 @@ def distances_by_nearest_nodes(points: DataFrame, nodes: DataFrame, edges: DataF
     return near.join(e, ["skel_id", "node_id"]).groupBy("point_id", "skel_id").agg(F.min(d).alias("distance"))
 
 
-def nearest_skeletons(points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, radius: str | None = None, **options) -> DataFrame:
-    """``point_id, rank, skel_id, distance``: the k nearest skeletons (all of them where there are fewer), ties by id; options as for ``distances``."""
+def edge_index(nodes: DataFrame, edges: DataFrame, radius: str | None = None, *, allowed_nodes: DataFrame | None = None, allowed_edges: DataFrame | None = None) -> Index:
+    """All edges that count (and nodes without one) in one hierarchy of cells, for ``nearest_skeletons``; it can be used for many sets of points."""
+    e = with_ends(nodes, whitelisted(nodes, edges, allowed_nodes, allowed_edges), *([radius] if radius else []))
+    wide = F.greatest(F.lit(0.0), F.col(f"a_{radius}"), F.col(f"b_{radius}")) if radius else F.lit(0.0)
+    box = [(fold(f"a{c}", f"b{c}") + sign * wide).alias(f"{n}_{c}") for c in "xyz" for n, fold, sign in (("lo", F.least, -1), ("hi", F.greatest, 1))]
+    return index(e.select(F.lit(0).alias("space"), *e.columns, *box), owner="skel_id")
+
+
+def nearest_skeletons(points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, radius: str | None = None, *, unit: str | None = None, point_unit: str | None = None, within: float | None = None, tree: Index | None = None, **allowed) -> DataFrame:
+    """``point_id, rank, skel_id, distance``: the k nearest skeletons (all of them where there are fewer), ties by id; options as for ``distances``.
+
+    Branch and bound: of all edges a point meets only those in cells that can hold one of its k
+    nearest skeletons.  Skeletons farther away than ``within`` (in the points' unit) are left out.
+    """
     if k < 1:
         raise ValueError("k is positive")
-    w = Window.partitionBy("point_id").orderBy("distance", "skel_id")
-    return distances(points, nodes, edges, radius=radius, **options).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("point_id", "rank", "skel_id", "distance")
+    scale = g.unit_factor(point_unit, unit) if unit is not None and point_unit is not None else 1.0
+    tree = tree or edge_index(nodes, edges, radius, **allowed)
+    p = points.select(F.lit(0).alias("space"), "point_id", *((F.col(c) * F.lit(scale)).alias(f"p{c}") for c in "xyz"))
+    args = (g.vector("p"), g.vector("a"), g.vector("b"))
+    d = F.greatest(F.lit(0.0), g.point_capsule_distance(*args, F.col(f"a_{radius}"), F.col(f"b_{radius}"))) if radius else g.point_segment_distance(*args)
+    out = nearest(p, tree, lambda rows: rows.withColumn("distance", d), owner="skel_id", k=k, within=None if within is None else within * scale)
+    return out.select("point_id", F.col("rank").cast("int").alias("rank"), "skel_id", (F.col("distance") / F.lit(scale)).alias("distance"))
 
 
 def structured_matches(points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 1, *, return_all: bool = False, **options) -> DataFrame:
     """``point_id, x, y, z, matches`` and, if asked for, ``all_distances``: per point its nearest skeletons, or all, as an array of (rank, skel_id, distance)."""
     if k < 1:
         raise ValueError("k is positive")
-    d = distances(points, nodes, edges, **options)
     entry = F.struct(F.col("distance"), F.col("skel_id"))
     ranked = F.array_sort(F.collect_list(entry))
-    rows = d.groupBy("point_id").agg(ranked.alias("all")) if return_all else nearest_skeletons(points, nodes, edges, k, **options).groupBy("point_id").agg(ranked.alias("all"))
+    rows = distances(points, nodes, edges, **options).groupBy("point_id").agg(ranked.alias("all")) if return_all else nearest_skeletons(points, nodes, edges, k, **options).groupBy("point_id").agg(ranked.alias("all"))
     best = F.transform(F.slice("all", 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x["skel_id"].alias("skel_id"), x["distance"].alias("distance")))
     everything = F.map_from_entries(F.transform("all", lambda x: F.struct(x["skel_id"].alias("skel_id"), x["distance"].alias("distance"))))
     out = rows.select("point_id", best.alias("matches"), *([everything.alias("all_distances")] if return_all else []))

@@ -6,38 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..kernels import tree
-from ..operators import contacts, edit, graph, measures, mesh, projection, shape, skeletonize as sk
-from .views import ctes, view
+from ..operators import contacts, edit, forest, graph, measures, mesh, projection, shape, skeletonize as sk
+from .registry import ORACLES, QUERIES
+from .registry import query as _query
+from .registry import rounded as _r
+from .views import view
 
 BOX = [20, 60, 10, 100, 10, 80]
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None, *views: str, recursive: bool = False):
-    """Registers a query under its function's name; the arguments are the views it reads, in order."""
-
-    def register(f):
-        name = f.__name__
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*(view(spark, sf_dir, v) for v in views))
-
-        run.__name__, run.__doc__ = name, f.__doc__
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = f"WITH {'RECURSIVE ' if recursive else ''}{ctes(*(v for v in views))}{sql if sql.lstrip().startswith(',') else chr(10) + sql}"
-        return f
-
-    return register
-
-
 NE = ("sk_node", "sk_edge")
 _DEG = """, ends AS (SELECT skel_id, u AS node_id FROM sk_edge UNION ALL SELECT skel_id, v FROM sk_edge),
 deg AS (SELECT n.skel_id, n.node_id, CAST(count(e.node_id) AS BIGINT) AS degree FROM sk_node n LEFT JOIN ends e ON e.skel_id = n.skel_id AND e.node_id = n.node_id GROUP BY 1, 2)"""
@@ -52,10 +32,6 @@ _SEG = f", seg AS (SELECT e.skel_id, e.u, e.v, e.len, {_ENDS}, a.r_median AS ra,
 _SELF_LEN = "sqrt((bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) + (bz-az)*(bz-az))"
 
 
-def _r(c, name: str, digits: int = 4):
-    return F.round(c, digits).alias(name)
-
-
 @_query("SELECT skel_id, round(sum(len), 4) AS length, count(*) AS n_edges FROM sk_edge WHERE len > 0 GROUP BY skel_id", *NE)
 def path_length(nodes, edges):
     return measures.path_length(nodes, edges).select("skel_id", _r("length", "length"), "n_edges")
@@ -475,7 +451,7 @@ def skeleton_edges_from_mesh(faces, verts):
     return mesh.skeleton_edges_from_mesh(mesh.mesh_edges(faces, verts), members)
 
 
-@_query("""SELECT mesh_id, face_id, a - greatest(0, 0) AS a, b, c FROM (SELECT f.mesh_id, f.face_id, a.k AS a, b.k AS b, c.k AS c FROM mesh_face f
+@_query("""SELECT mesh_id, face_id, a, b, c FROM (SELECT f.mesh_id, f.face_id, a.k AS a, b.k AS b, c.k AS c FROM mesh_face f
 JOIN (SELECT mesh_id, vert_id, row_number() OVER (PARTITION BY mesh_id ORDER BY vert_id) - 1 AS k FROM mesh_vert WHERE vert_id % 20 < 10) a ON a.mesh_id = f.mesh_id AND a.vert_id = f.a
 JOIN (SELECT mesh_id, vert_id, row_number() OVER (PARTITION BY mesh_id ORDER BY vert_id) - 1 AS k FROM mesh_vert WHERE vert_id % 20 < 10) b ON b.mesh_id = f.mesh_id AND b.vert_id = f.b
 JOIN (SELECT mesh_id, vert_id, row_number() OVER (PARTITION BY mesh_id ORDER BY vert_id) - 1 AS k FROM mesh_vert WHERE vert_id % 20 < 10) c ON c.mesh_id = f.mesh_id AND c.vert_id = f.c)""", *MF)
@@ -513,7 +489,7 @@ def mst(nodes, edges):
     """Minimum spanning forest of the skeleton's edges with shortcuts between nodes two apart."""
     extra = nodes.where("node_id >= 2").select("skel_id", (F.col("node_id") - 2).alias("u"), F.col("node_id").alias("v"))
     e = edit.norm_edges(edges.select("skel_id", "u", "v").unionByName(extra))
-    return _per_skeleton(nodes, e, lambda n, p: _edge_frame(tree.spanning_forest(n[["x", "y", "z"]].to_numpy(), p)), "skel_id long, u long, v long")
+    return forest.spanning_forest(measures.edge_lengths(nodes, e).withColumnRenamed("length", "len"))
 
 
 @_query(None, *NE)
@@ -553,21 +529,6 @@ def calibrate_radii(faces, verts):
     return mesh.calibrate_radii(s.node, s.edge, verts, s.vert).withColumn("calibrated", F.round("calibrated", 4))
 
 
-@_query(None, *MF)
-def contact_sites_mesh(faces, verts):
-    """Patches in which neighbouring height fields touch, with the second mesh of each pair turned over."""
-    geo, hits = _mesh_hits(faces, verts)
-    return contacts.contact_patches(hits, faces, geo).select("a_mesh_id", "b_mesh_id", "patch", "n_faces", _r("area", "area"), _r("dispersion", "dispersion"))
-
-
-@_query(None, *MF)
-def contact_shapes(faces, verts):
-    geo, hits = _mesh_hits(faces, verts)
-    rows = contacts.patch_members(hits, faces).join(geo.select(F.col("mesh_id").alias("a_mesh_id"), F.col("face_id").alias("a_face_id"), *geo.columns[2:]), ["a_mesh_id", "a_face_id"])
-    s = shape.patch_shapes(rows, ("a_mesh_id", "b_mesh_id", "patch"))
-    return s.select("a_mesh_id", "b_mesh_id", "patch", "n_faces", *(_r(c, c) for c in ("extent_long", "extent_short", "roundness", "dispersion")))
-
-
 @_query(None, *MF)
 def calibrate_radii_outer(faces, verts):
     s = sk.skeletonize(verts, faces)
@@ -599,9 +560,9 @@ def node_windows(nodes):
     return projection.node_windows(nodes, soma, multiplier=1.5).select("skel_id", "node_id", *(_r(c, c) for c in ("x_lo", "x_hi", "y_lo", "y_hi")))
 
 
-@_query(", c AS (SELECT mesh_id, unnest([a, b, c]) AS vert_id FROM mesh_face WHERE face_id % 10 = 3)\nSELECT c.mesh_id, " + ", ".join(f"min({x}) - 5 AS min_{x}, max({x}) + 5 AS max_{x}" for x in "xyz") + " FROM c JOIN mesh_vert v ON v.mesh_id = c.mesh_id AND v.vert_id = c.vert_id GROUP BY 1", *MF)
+@_query(", c AS (SELECT mesh_id, unnest([a, b, c]) AS vert_id FROM mesh_face)\nSELECT c.mesh_id, " + ", ".join(f"min({x}) AS min_{x}, max({x}) AS max_{x}" for x in "xyz") + " FROM c JOIN mesh_vert v ON v.mesh_id = c.mesh_id AND v.vert_id = c.vert_id GROUP BY 1", *MF)
 def face_boxes(faces, verts):
-    return projection.face_boxes(faces.where("face_id % 10 = 3"), verts, margin=5.0)
+    return projection.face_boxes(faces, verts)
 
 
 @_query(", c AS (SELECT mesh_id, unnest([a, b, c]) AS vert_id FROM mesh_face)\nSELECT c.mesh_id, " + ", ".join(f"min({x}) - 5 AS min_{x}, max({x}) + 5 AS max_{x}" for x in "xyz") + " FROM c JOIN mesh_vert v ON v.mesh_id = c.mesh_id AND v.vert_id = c.vert_id GROUP BY 1", *MF)
@@ -612,11 +573,3 @@ def all_face_boxes(faces, verts):
 @_query("SELECT skel_id, u - 1 AS u, v - 1 AS v FROM sk_edge WHERE u > 0", *NE)
 def without_root(nodes, edges):
     return projection.without_root(nodes, edges)[1].select("skel_id", "u", "v")
-
-
-def _mesh_hits(faces, verts):
-    geo = mesh.face_geometry(faces, verts)
-    near = geo.where("area > 0")
-    s = near.select("mesh_id", "face_id", F.lit(0).cast("long").alias("sample_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "nx", "ny", "nz")
-    even, odd = s.where("mesh_id % 2 = 0"), s.where("mesh_id % 2 = 1").withColumns({f"n{c}": -F.col(f"n{c}") for c in "xyz"})
-    return geo, contacts.mesh_contacts(even, odd, 0.5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..operators.graph import scratch_path
+from ..operators.graph import ON_RELEASE, scratch_path
 
 VIEWS = {
     "sk_node": """
@@ -65,6 +65,7 @@ _NEEDS = {"sk_node": ["events"], "sk_edge": ["sk_node"], "sk_point": ["part"], "
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+ON_RELEASE.append(_WRITTEN.clear)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
