@@ -1,8 +1,11 @@
-"""Vectorised hashing of words and their shingles (NumPy)."""
+"""Hashing of words and their shingles."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -17,76 +20,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-#: Bytes hashed at once; arrays over them take some fifty times as much.
+#: Bytes of a text whose words are hashed at once.
 _PIECE = 1 << 21
+#: Words whose hashes a process remembers for each key, and the longest of them.
+_KNOWN_WORDS, _KNOWN_BYTES = 300_000, 64
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z folded) of all texts, and the number of words in each."""
-    pieces: list[list[bytes]] = [[]]
-    owner: list[list[int]] = [[]]
-    held = 0
+@functools.lru_cache(maxsize=2)
+def _known(key: bytes) -> dict[bytes, int]:
+    return {}
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text is cut between words."""
+    at = 0
+    while len(text) - at > _PIECE and (gap := _GAP.search(text, at + _PIECE)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:] if at else text
+
+
+def word_hashes(texts: list[bytes], key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z folded) of all texts, and the number of words in each.
+
+    64 bits of BLAKE2b under ``key``: whoever doesn't know the key can't make two words that share a hash.
+    """
+    known, blake = _known(key), hashlib.blake2b
+    out, per_text = [np.zeros(0, U)], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        at = 0
-        while True:
-            # a long text is cut between words
-            gap = _GAP.search(t, at + _PIECE) if len(t) - at > _PIECE else None
-            end = gap.start() if gap else len(t)
-            if held and held + end - at > _PIECE:
-                pieces.append([])
-                owner.append([])
-                held = 0
-            pieces[-1].append(t[at:end] if at or end < len(t) else t)
-            owner[-1].append(i)
-            held += end - at
-            if end == len(t):
-                break
-            at = end
-    per_text = np.zeros(len(texts), np.int64)
-    out = []
-    for some, whose in zip(pieces, owner, strict=True):
-        if some:
-            h, n = _word_hashes(some)
-            out.append(h)
-            np.add.at(per_text, whose, n)
-    return np.concatenate(out) if out else np.zeros(0, U), per_text
-
-
-#: The low k bytes of a block of eight.
-_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
-
-
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words are read in blocks of eight bytes, each of which is mixed into what came before; a word of one block is mixed one to one."""
-    joined = np.frombuffer(b"\n".join(texts) + b"\n" * 9, np.uint8)
-    ends_of_text = np.cumsum([len(t) + 1 for t in texts])
-    solid = ~_SPACE[joined]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if len(starts) == 0:
-        return np.zeros(0, U), np.zeros(len(texts), np.int64)
-    blocks = np.lib.stride_tricks.as_strided(_LOWER[joined], (len(joined) - 7, 8), (1, 1))
-    h, at, left, open_ = np.zeros(len(starts), U), starts.copy(), ends - starts, np.arange(len(starts))
-    while len(open_):
-        block = blocks[at[open_]].copy().view("<u8").ravel() & _LOW[np.minimum(left[open_], 8)]
-        h[open_] = mix((h[open_] ^ block) + U(0x9E3779B97F4A7C15))
-        at[open_] += 8
-        left[open_] -= 8
-        open_ = open_[left[open_] > 0]
-    per_text = np.diff(np.concatenate([[0], np.searchsorted(starts, ends_of_text)]))
-    return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)), per_text
-
-
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+        for piece in _pieces(t):
+            words = piece.lower().split()
+            got = [*map(known.get, words)]
+            if None in got:
+                for k, v in enumerate(got):
+                    if v is None:
+                        w = words[k]
+                        v = known.get(w)
+                        if v is None:
+                            v = int.from_bytes(blake(w, digest_size=8, key=key).digest(), "little")
+                            if len(w) <= _KNOWN_BYTES and len(known) < _KNOWN_WORDS:
+                                known[w] = v
+                        got[k] = v
+            out.append(np.array(got, U))
+            per_text[i] += len(words)
+    return np.concatenate(out), per_text
+
+
+def shingle_sets(texts: list[bytes], words: int, key: bytes = b"") -> list[np.ndarray]:
     """The sorted distinct hashes of each text's runs of ``words`` words; the whole text as one with fewer; none without words."""
-    h, per_text = word_hashes(texts)
+    h, per_text = word_hashes(texts, key)
     out, at = [], 0
     for n in per_text:
         w = h[at : at + n]

@@ -46,13 +46,14 @@ class Coder:
 
     def counts(self, text: str) -> np.ndarray:
         """(n-gram number, count) of the whole text, in two rows; no columns without a letter."""
-        step = _PIECE
+        # folded before it is cut: a letter may fold to several
+        text, step = text.lower(), _PIECE
         starts = range(0, max(1, len(text)), step)
         seen: list[np.ndarray] = []
         for i in starts:
             # a later piece repeats two letters, so that no n-gram is lost or counted twice
             piece = text[max(0, i - 2) : i + step]
-            points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
             c = self.codes[points].astype(np.int64)
             first, last = i == 0, i + step >= len(text)
             c = np.concatenate([np.zeros(int(first), np.int64), c, np.zeros(int(last), np.int64)])

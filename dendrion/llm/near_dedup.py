@@ -9,8 +9,8 @@
 3. *Families.*  Nodes that share keys are tied to the key's smallest node (a star, not all pairs),
    and connected components of those stars are families: every pair that shares a key, and so
    every linked pair, lies inside one family.
-4. *Links.*  A family is dealt into blocks of bounded size.  Inside a block the pairs within the
-   signature distance are the candidates.  They are confirmed on their full sets by matrix
+4. *Links.*  A family is dealt into blocks of bounded size.  Inside a block the pairs that share a
+   key are the candidates.  They are confirmed on their full sets by matrix
    products, and only a spanning forest of the links leaves the task.
    Families of several blocks are contracted by these links, dealt again so that a component's
    nodes lie together, and pairs of blocks are compared unless one component covers both.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,10 +92,10 @@ def _runs(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def _sketch(words: int, values: int):
+def _sketch(words: int, values: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (r for b in batches for r in _runs(b)):
-            sets = shingle_sets(_bytes(b.column(1)), words)
+            sets = shingle_sets(_bytes(b.column(1)), words, key)
             n = np.array([len(s) for s in sets], np.int64)
             full = [s for s in sets if len(s)]
             sigs = signatures(full, values) if full else np.zeros((0, values), U)
@@ -114,12 +115,12 @@ def _listed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("node"), lists], names=["node", "keys"])
 
 
-def _sets(words: int):
+def _sets(words: int, key: bytes):
     """Shingle sets of the wanted nodes; an id that several texts share may bring others, which are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (r for b in batches for r in _runs(b)):
-            sets = shingle_sets(_bytes(b.column("text")), words)
+            sets = shingle_sets(_bytes(b.column("text")), words, key)
             wanted = pa.array([_node(s) == w for s, w in zip(sets, b.column("node").to_pylist(), strict=True)])
             packed = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.record_batch([b.column("node"), b.column("family"), b.column("block"), packed, b.column("sig")], names=["node", "family", "block", "shingles", "sig"]).filter(wanted)
@@ -127,21 +128,27 @@ def _sets(words: int):
     return run
 
 
-def signature_distance(sigs: np.ndarray) -> np.ndarray:
-    """In how many values each two of the signatures differ."""
-    out = np.zeros((len(sigs), len(sigs)), np.uint16)
-    for value in sigs.T:
-        out += value[:, None] != value[None, :]
-    return out
+def sharing_keys(sigs: np.ndarray) -> np.ndarray:
+    """Which two of the signatures share a key: in some chunk they differ in one value at most.
+
+    All pairs within distance 2 * chunks - 1 do, by the pigeonhole principle, and most pairs beyond it.
+    """
+    near = np.zeros((len(sigs), len(sigs)), bool)
+    for c in range(0, sigs.shape[1], CHUNK):
+        differ = np.zeros(near.shape, np.uint8)
+        for value in sigs[:, c : c + CHUNK].T:
+            differ += value[:, None] != value[None, :]
+        near |= differ <= 1
+    return near
 
 
 def linked_forest(sets: list[np.ndarray], sigs: np.ndarray, split: int | None, per_cent: int) -> list[tuple[int, int]]:
     """(member, its component's first member) under the links between the sets.
 
     With ``split``, only pairs of a set before it with one from it on count.  A pair is linked when its
-    signatures are within the distance of the index, 2 * chunks - 1, and 100 * |intersection| >= per_cent * |union|.
+    signatures share a key of the index and 100 * |intersection| >= per_cent * |union|.
     """
-    near = signature_distance(sigs) <= 2 * (sigs.shape[1] // CHUNK) - 1
+    near = sharing_keys(sigs)
     if split is not None:
         near[:split, :split] = False
         near[split:, split:] = False
@@ -255,9 +262,11 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     """
     per_cent = round(100 * similarity)
     values = chunks_for(similarity) * CHUNK
+    # hashes differ from run to run, so that no text can be made to share another's; groups don't
+    key = os.urandom(16)
     rows = named(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     keyed_rows = rows.select("id", "text", *text_keys(F.col("text")))
-    sketch = written(mapped(keyed_rows, _sketch(words, values), "id long, k1 long, k2 long, n_shingles long, node binary, sig binary"), "near-sketch")
+    sketch = written(mapped(keyed_rows, _sketch(words, values, key), "id long, k1 long, k2 long, n_shingles long, node binary, sig binary"), "near-sketch")
     nodes = sketch.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
     nodes = written(nodes.select("node", F.col("rep.id").alias("least_id"), F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"), "n_shingles", "sig"), "near-nodes")
     keyed = mapped(nodes.select("node", "sig"), _listed_keys, "node binary, keys array<long>").select("node", F.explode("keys").alias("key"))
@@ -270,7 +279,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     reclaim(docs.sparkSession)
     dealt = _deal(family.join(nodes.select("node", "n_shingles", "least_id", "k1", "k2", "sig"), "node"))
     texts = _one_text(keyed_rows, sketch, dealt)
-    sets = written(mapped(texts, _sets(words), "node binary, family binary, block long, shingles binary, sig binary"), "near-sets")
+    sets = written(mapped(texts, _sets(words, key), "node binary, family binary, block long, shingles binary, sig binary"), "near-sets")
     reclaim(docs.sparkSession)
     return _assemble(sketch, nodes, _links(sets, dealt, per_cent))
 

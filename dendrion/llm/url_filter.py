@@ -6,9 +6,9 @@ listed keys that level 2 lets through, and so on until a level lets nothing thro
 first missing level then tells its membership exactly, for every key of the universe, by bit tests
 alone: no page is ever joined with the list.
 
-Keys are ``host`` + ``path prefix``.  A url has one key for each suffix of its host's labels and
-each listed path length, since a rule fits a host with all its subdomains and any path that starts
-with the rule's.
+Keys are ``host`` + ``path prefix``.  A url has one key for each listed number of labels at the end of
+its host and each listed path length, since a rule fits a host with all its subdomains and any path
+that starts with the rule's.
 """
 
 from __future__ import annotations
@@ -39,13 +39,17 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return fold_ascii(host), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a url: each host suffix of whole labels with each prefix of the path that has a listed length."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _labels(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."))) + 1
+
+
+def _keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """All keys of a url that can be listed: its host's last labels, as many as a listed host has, with each prefix of the path that has a listed length."""
+    suffixes = F.array(*(F.struct(F.lit(m).alias("m"), F.substring_index(host, ".", -m).alias("s")) for m in labels))
+    suffixes = F.filter(suffixes, lambda x: _labels(host) >= x["m"])
     prefixes = F.array(*(F.struct(F.lit(n).alias("n"), F.substring(path, 1, n).alias("p")) for n in lengths))
     whole = F.filter(prefixes, lambda x: F.char_length(x["p"]) == x["n"])
-    return F.flatten(F.transform(suffixes, lambda h: F.transform(whole, lambda x: F.concat(h, F.lit("\t"), x["p"]))))
+    return F.flatten(F.transform(suffixes, lambda h: F.transform(whole, lambda x: F.concat(h["s"], F.lit("\t"), x["p"]))))
 
 
 def _bit(key: Column, seed: int, i: int, n_bits: int) -> Column:
@@ -135,15 +139,16 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     fitting rule wins, a longer host before a longer path; of a key listed with both actions,
     block wins.  Without a fitting rule the verdict is ``default``: the cascades hold all listed
     keys, and a page none of whose keys is listed is not filtered.  Null and malformed urls, with
-    empty host and path, fit no rule; a url of any length is read whole.  Repeated pages are judged
+    empty host and path, fit no rule; a url of any length and any number of labels is read whole.  Repeated pages are judged
     alike; other columns are ignored whatever their names; an empty table gives an empty result.
     Lists may be of any length: see ``RANGE_KEYS``.  Rules without host or path are left out.
     """
-    rules = rules.select(F.col("action"), F.concat("host", F.lit("\t"), "path").alias("key"), F.char_length("path").alias("n")).where("key is not null")
-    lengths = sorted(r[0] for r in rules.select("n").distinct().collect())
+    rules = rules.select(F.col("action"), F.concat("host", F.lit("\t"), "path").alias("key"), F.char_length("path").alias("n"), _labels(F.col("host")).alias("m")).where("key is not null")
+    # as many as path lengths and numbers of labels that occur in the list
+    lengths, labels = (sorted(r[0] for r in rules.select(c).distinct().collect()) for c in "nm")
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url")).select("id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("keys", _keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
+    rows = rows.withColumn("keys", _keys(F.col("host"), F.col("path"), labels, lengths) if lengths else F.array().cast("array<string>"))
     universe = written(rows.select(F.explode("keys").alias("key")).distinct(), "url-keys")
     best = F.lit(None).cast("struct<h:int,n:int,action:string,key:string>")
     rows = rows.withColumn("best", best)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dendrion.llm import bytehash, decontamination, exact_dedup, mixing, near_dedup, sharding, url_filter
+from dendrion.llm import bytehash, decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, url_filter
 
 
 def thue_morse(n):
@@ -45,7 +45,7 @@ def test_near_dedup_of_many_rows_without_id(spark):
 
 def test_signature_distance_and_recall(spark):
     sigs = np.array([[1, 2, 3, 4], [1, 2, 9, 4], [5, 6, 7, 8]], np.uint16)
-    assert near_dedup.signature_distance(sigs).tolist() == [[0, 1, 4], [1, 0, 4], [4, 4, 0]]
+    assert near_dedup.sharing_keys(sigs).tolist() == [[True, True, False], [True, True, False], [False, False, True]]
     # pairs of every similarity around the limit, held against all pairs
     rng = np.random.default_rng(6)
     rows = []
@@ -197,3 +197,36 @@ def test_stages_of_an_empty_table(spark, tables):
     for _, stage in p.STAGES:
         none = stage(spark, none, tables)
         assert none.count() == 0
+
+
+def test_words_made_to_share_an_unkeyed_hash_are_not_linked(spark):
+    one, two = "v/c;puh\x1f~#o\\md", "zhkdglfb1-_]:z[`"
+    assert len(set(bytehash.word_hashes([one.encode(), two.encode()])[0].tolist())) == 2
+    assert bytehash.word_hashes([b"a"], b"x" * 16)[0] != bytehash.word_hashes([b"a"], b"y" * 16)[0]
+    got = near_dedup.near_groups(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string"), words=3, similarity=0.85).collect()
+    assert all(r["kept"] for r in got)
+
+
+@pytest.mark.parametrize("per_cent", [80, 85])
+def test_pairs_at_the_limit_share_a_key(per_cent):
+    # simulated: a value is equal with the chance of the similarity; the chance to miss is 1e-6 by choice
+    rng = np.random.default_rng(per_cent)
+    chunks, pairs = near_dedup.chunks_for(per_cent / 100), 200_000
+    equal = rng.random((pairs, chunks, near_dedup.CHUNK)) < per_cent / 100
+    missed = (~((~equal).sum(axis=2) <= 1).any(axis=1)).sum()
+    assert missed <= 3
+
+
+def test_urls_with_very_many_labels(spark):
+    urls = ["http://" + "a." * 60_000 + "net/x", "http://" + "." * 5_000 + "org/fr/", "http://net/", "http://a.example.net/en/b", "http://x.org/fr"]
+    rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, action string")
+    got = {r["id"]: r["rule"] for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got == {0: "net/", 1: "org/fr/", 2: "net/", 3: "example.net/en/", 4: None}
+
+
+def test_letters_that_fold_to_several_at_a_cut(monkeypatch):
+    text = "ab\u0130cd \u0130\u0130 efg" * 5
+    whole = language_id.Coder().counts(text).tolist()
+    for piece in (3, 4, 7, 11):
+        monkeypatch.setattr(language_id, "_PIECE", piece)
+        assert language_id.Coder().counts(text).tolist() == whole
