@@ -94,3 +94,46 @@ def without_root(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     """Skeletons without node 0 and its edges; the ids of the others move down by one."""
     left = nodes.where("node_id > 0").withColumn("node_id", F.col("node_id") - 1)
     return left, edges.where("u > 0 and v > 0").withColumns({"u": F.col("u") - 1, "v": F.col("v") - 1})
+
+
+def tapered_outlines(nodes: DataFrame, edges: DataFrame, radius: str, plane: str = "xy", *, scale: float = 1.0) -> DataFrame:
+    """``skel_id, u, v, h0, v0 .. h3, v3``: the corners of each edge's outline in the plane, around the shape.
+
+    The outline joins the two circles of the ends across the edge's direction in the plane; edges that
+    are seen end on, or have no length, have none.
+    """
+    h, v = plane_axes(plane)
+    ends = edges.select("skel_id", "u", "v")
+    for end, k in (("u", "p"), ("v", "q")):
+        ends = ends.join(nodes.select("skel_id", F.col("node_id").alias(end), *((F.col(c) * F.lit(float(scale))).alias(f"{k}{n}") for n, c in (("h", h), ("v", v), ("r", radius)))), ["skel_id", end])
+    dh, dv = F.col("qh") - F.col("ph"), F.col("qv") - F.col("pv")
+    # the direction turned by a right angle, as the cross product with the plane's normal turns it
+    sign = F.lit(1.0 if plane in ("xy", "yz", "zx") else -1.0)
+    ends = ends.withColumns({"nh": sign * dv, "nv": -sign * dh}).withColumn("l", F.sqrt(F.col("nh") * F.col("nh") + F.col("nv") * F.col("nv"))).where("l > 0")
+    corners = [F.col(f"{k}{c}") + s * F.col(f"n{c}") / F.col("l") * F.col(f"{k}r") for k, s in (("p", 1), ("p", -1), ("q", -1), ("q", 1)) for c in "hv"]
+    return ends.select("skel_id", "u", "v", *(x.alias(f"{c}{i // 2}") for i, (x, c) in enumerate(zip(corners, "hv" * 4, strict=True))))
+
+
+def soma_ellipses(somas: DataFrame, plane: str = "xy", *, scale: float = 1.0) -> DataFrame:
+    """``skel_id, h, v, width, height, angle``: the shadow of each cell body (skel_id, center, axes, rot) on the plane.
+
+    The shadow of an ellipsoid is an ellipse: of its quadric matrix the dropped coordinate is
+    eliminated.  ``width`` is the long axis, whole, and ``angle`` its direction in degrees, 0 to 180.
+    """
+    names = plane_axes(plane)
+    i, j = (AXES.index(c) for c in names)
+    k = 3 - i - j
+    quadric = {(p, q): sum(((F.col("rot")[p][m] * F.col("rot")[q][m] / (F.col("axes")[m] * F.col("axes")[m])) for m in range(1, 3)), F.col("rot")[p][0] * F.col("rot")[q][0] / (F.col("axes")[0] * F.col("axes")[0])) for p, q in ((i, i), (i, j), (j, j), (i, k), (j, k), (k, k))}
+    left = {(p, q): quadric[p, q] - quadric[p, k] * quadric[q, k] / quadric[k, k] for p, q in ((i, i), (i, j), (j, j))}
+    rows = somas.select("skel_id", *(F.col("center")[n].alias(c) for n, c in ((i, "h"), (j, "v"))), *(left[x].alias(c) for x, c in (((i, i), "a"), ((i, j), "b"), ((j, j), "c"))))
+    a, b, c = (F.col(n) for n in "abc")
+    middle, away = (a + c) / 2, F.sqrt((a - c) * (a - c) / 4 + b * b)
+    # the long axis belongs to the smaller eigenvalue, a right angle from the other's direction
+    angle = F.pmod(F.degrees(F.atan2(2 * b, a - c)) / 2 + 90, F.lit(180.0))
+    return rows.select("skel_id", *((F.col(n) * F.lit(float(scale))).alias(n) for n in "hv"), (2 * F.lit(float(scale)) / F.sqrt(middle - away)).alias("width"), (2 * F.lit(float(scale)) / F.sqrt(middle + away)).alias("height"), F.when(away > 1e-15 * middle, angle).otherwise(F.lit(0.0)).alias("angle"))
+
+
+def component_labels(verts: DataFrame, node_vert: DataFrame) -> DataFrame:
+    """``mesh_id, vert_id, label``: the node that each mesh vertex belongs to (skel_id, node_id, vert_id), -1 without one; of several the greatest."""
+    own = node_vert.groupBy(F.col("skel_id").alias("mesh_id"), "vert_id").agg(F.max("node_id").alias("label"))
+    return verts.select("mesh_id", "vert_id").join(own, ["mesh_id", "vert_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..kernels import tree
-from ..operators import contacts, edit, forest, graph, measures, mesh, projection, shape, skeletonize as sk
+from ..operators import contacts, edit, forest, graph, measures, mesh, projection, resample, shape, skeletonize as sk
 from .registry import ORACLES, QUERIES
 from .registry import query as _query
 from .registry import rounded as _r
@@ -498,13 +498,41 @@ def bridge_gaps(nodes, edges):
     return _per_skeleton(nodes, cut, lambda n, p: _edge_frame(tree.bridge_gaps(n[["x", "y", "z"]].to_numpy(), p)), "skel_id long, u long, v long")
 
 
-@_query(None, *NE)
+_ALIKE = lambda p, q: f"abs({p} - {q}) <= 0.5 * greatest(abs({p}), abs({q}))"
+_GAP = lambda p, q: f"sqrt(({p}x-{q}x)*({p}x-{q}x) + ({p}y-{q}y)*({p}y-{q}y) + ({p}z-{q}z)*({p}z-{q}z))"
+_DOWN = f"""{_DEG}, k AS (SELECT n.skel_id, n.node_id, n.parent_id, n.x, n.y, n.z, n.r_median AS r, degree, degree = 2 AND n.node_id <> 0 AS inner_ FROM sk_node n JOIN deg USING (skel_id, node_id)),
+up AS (SELECT skel_id, node_id AS bottom, parent_id AS at, CAST(1 AS BIGINT) AS hops FROM k WHERE NOT inner_ AND parent_id IS NOT NULL
+  UNION ALL SELECT u.skel_id, u.bottom, k.parent_id, u.hops + 1 FROM up u JOIN k ON k.skel_id = u.skel_id AND k.node_id = u.at WHERE k.inner_),
+mem AS (SELECT u.skel_id, u.bottom, u.at AS node_id, least(t.at, u.bottom) AS a, greatest(t.at, u.bottom) AS far, CASE WHEN u.bottom < t.at THEN u.hops ELSE t.hops - u.hops END AS pos, k.x, k.y, k.z, k.r
+  FROM up u JOIN k ON k.skel_id = u.skel_id AND k.node_id = u.at AND k.inner_ JOIN (SELECT up.* FROM up JOIN k ON k.skel_id = up.skel_id AND k.node_id = up.at AND NOT k.inner_) t ON t.skel_id = u.skel_id AND t.bottom = u.bottom),
+cut AS (SELECT skel_id, bottom, pos, CAST(0 AS BIGINT) AS run, CAST(1 AS BIGINT) AS n, r AS total FROM mem WHERE pos = 1
+  UNION ALL SELECT c.skel_id, c.bottom, m.pos, CASE WHEN {_ALIKE("m.r", "(c.total / c.n)")} THEN c.run ELSE c.run + 1 END, CASE WHEN {_ALIKE("m.r", "(c.total / c.n)")} THEN c.n + 1 ELSE 1 END, CASE WHEN {_ALIKE("m.r", "(c.total / c.n)")} THEN c.total + m.r ELSE m.r END
+  FROM cut c JOIN mem m ON m.skel_id = c.skel_id AND m.bottom = c.bottom AND m.pos = c.pos + 1),
+seq AS (SELECT m.*, run, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lag(z) OVER w AS lz FROM mem m JOIN cut USING (skel_id, bottom, pos) WINDOW w AS (PARTITION BY skel_id, bottom, run ORDER BY pos)),
+st AS (SELECT *, coalesce(sqrt((x-lx)*(x-lx) + (y-ly)*(y-ly) + (z-lz)*(z-lz)), 0) AS step FROM seq),
+runs AS (SELECT skel_id, bottom, a, far, run, list(r) AS radii, count(*) AS n, sum(step) AS len, {", ".join(f"sum(CASE WHEN step > 0 THEN step * ({c} + l{c}) / 2 ELSE 0 END) AS m{c}, sum({c}) AS s{c}, arg_min({c}, pos) AS h{c}, arg_max({c}, pos) AS t{c}" for c in "xyz")}, min(node_id) AS name FROM st GROUP BY 1, 2, 3, 4, 5),
+j AS (SELECT u.*, list_aggregate(radii, 'median') AS own, max(run) OVER (PARTITION BY u.skel_id, u.bottom) AS last, b.node_id AS b, {", ".join(f"p.{c} AS p{c}, q.{c} AS q{c}" for c in ("x", "y", "z", "r", "degree"))} FROM runs u
+  JOIN k p ON p.skel_id = u.skel_id AND p.node_id = a JOIN k q ON q.skel_id = u.skel_id AND q.node_id = far JOIN mem b ON b.skel_id = u.skel_id AND b.bottom = u.bottom AND b.pos = 1),
+g AS (SELECT *, {_GAP("p", "h")} AS ga, {_GAP("q", "t")} AS gz, run = 0 AND a <> 0 AND (pdegree = 1 OR pdegree >= 3) AND {_ALIKE("pr", "own")} AS to_a, run = last AND far <> 0 AND (qdegree = 1 OR qdegree >= 3) AND {_ALIKE("qr", "own")} AS can_z FROM j),
+f AS (SELECT *, can_z AND NOT to_a AS to_z, CASE WHEN to_a THEN a WHEN can_z THEN far ELSE name END AS target,
+  {", ".join(f"CASE WHEN to_a THEN CASE WHEN len + ga > 0 THEN (m{c} + ga * (p{c} + h{c}) / 2) / (len + ga) ELSE (s{c} + p{c}) / (n + 1) END WHEN can_z THEN CASE WHEN len + gz > 0 THEN (m{c} + gz * (q{c} + t{c}) / 2) / (len + gz) ELSE (s{c} + q{c}) / (n + 1) END ELSE CASE WHEN len > 0 THEN m{c} / len ELSE s{c} / n END END AS o{c}" for c in "xyz")},
+  CASE WHEN to_a THEN list_aggregate(list_append(radii, pr), 'median') WHEN can_z THEN list_aggregate(list_append(radii, qr), 'median') ELSE own END AS o_r FROM g),
+placed AS (SELECT skel_id, target AS node_id, {", ".join(f"arg_max(o{c}, (a, b)) AS {c}" for c in "xyz")}, arg_max(o_r, (a, b)) AS r FROM f GROUP BY 1, 2),
+made AS (SELECT * FROM placed UNION ALL SELECT skel_id, node_id, x, y, z, r FROM k WHERE NOT inner_ AND NOT EXISTS (SELECT 1 FROM placed WHERE placed.skel_id = k.skel_id AND placed.node_id = k.node_id))"""
+
+
+@_query(f"{_DOWN} SELECT skel_id, row_number() OVER (PARTITION BY skel_id ORDER BY node_id) - 1 AS node_id, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, round(r, 4) AS r FROM made", *NE, recursive=True)
 def downsample(nodes, edges):
-    def run(n: pd.DataFrame, p: np.ndarray) -> pd.DataFrame:
-        xyz, r, _, _ = tree.downsample(n[["x", "y", "z"]].to_numpy(), n["r_median"].to_numpy(), p, 0.5, "median")
-        return pd.DataFrame({"node_id": np.arange(len(r)), "x": xyz[:, 0].round(4), "y": xyz[:, 1].round(4), "z": xyz[:, 2].round(4), "r": r.round(4)})
+    node, _, _ = resample.downsample(nodes, edges, "r_median", rtol=0.5, how="median")
+    return node.select("skel_id", "node_id", *(_r(c, c, 3) for c in "xyz"), _r("r_median", "r"))
+
 
-    return _per_skeleton(nodes, edges, run, "skel_id long, node_id long, x double, y double, z double, r double")
+@_query(f"""{_DOWN}, ids AS (SELECT skel_id, node_id, row_number() OVER (PARTITION BY skel_id ORDER BY node_id) - 1 AS new_id FROM made),
+t AS (SELECT skel_id, st.node_id, target FROM st JOIN f USING (skel_id, bottom, run) UNION ALL SELECT skel_id, node_id, node_id FROM k WHERE NOT inner_),
+m AS (SELECT t.skel_id, t.node_id, new_id FROM t JOIN ids ON ids.skel_id = t.skel_id AND ids.node_id = t.target)
+SELECT DISTINCT e.skel_id, least(p.new_id, q.new_id) AS u, greatest(p.new_id, q.new_id) AS v FROM sk_edge e JOIN m p ON p.skel_id = e.skel_id AND p.node_id = e.u JOIN m q ON q.skel_id = e.skel_id AND q.node_id = e.v WHERE p.new_id <> q.new_id""", *NE, recursive=True)
+def downsample_edges(nodes, edges):
+    return resample.downsample(nodes, edges, "r_median", rtol=0.5, how="median")[1]
 
 
 @_query(None, *NE)

@@ -65,12 +65,9 @@ def test_kernels():
     xyz = np.array([[0, 0, 0], [1, 0, 0], [2, 0, 0], [2, 1, 0.0]])
     ring = np.array([[0, 1], [1, 2], [2, 3], [0, 3]])
     assert tree.spanning_forest(xyz, ring).tolist() == [[0, 1], [1, 2], [2, 3]]
-    assert tree.bfs_parents(4, ring).tolist() == [-1, 0, 1, 0]
     bridged = tree.bridge_gaps(xyz, np.array([[0, 1], [2, 3]]))
     assert len(set(tree.labels_of(4, bridged))) == 1 and [1, 2] in bridged.tolist()
     assert tree.fill_labels(np.array([-1, 2, 0, 0]), np.array([[0, 1], [1, 2], [2, 3]])).tolist() == [-1, 2, 2, 2]
-    points, radii, e, old2new = tree.downsample(np.array([[i, 0, 0.0] for i in range(6)]), np.ones(6), np.array([[i, i + 1] for i in range(5)]))
-    assert len(points) == 2 and len(e) == 1 and old2new.tolist() == [0, 1, 1, 1, 1, 1]
     assert tree.merge_nested(np.zeros((3, 3)), np.array([3.0, 2.0, 1.0])).tolist() == [0, 1, 1]
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dendrion.kernels import tree
-from dendrion.operators import edit, measures, skeletonize as sk
+from dendrion.operators import edit, measures, resample, skeletonize as sk
 
 
 def tube(points, radii, around=16):
@@ -109,7 +109,6 @@ def test_detect_soma_swaps_root_and_anchor(spark):
 def test_single_node_branches_fold_into_hubs(spark):
     # a chain with a leaf at node 1, and one that becomes a leaf's parent later
     edges = [(0, 1), (1, 2), (1, 3), (3, 4), (3, 5), (0, 6)]
-    assert tree.collapse_single_node_branches(np.array(edges), 7).tolist() == [0, 1, 1, 3, 3, 3, 6]
     node = spark.createDataFrame([(1, i, float(i), 0.0, 0.0, 1.0, 1.0, 1.0, 0) for i in range(7)], "skel_id long, node_id long, x double, y double, z double, r_median double, r_mean double, r_trim double, ntype int")
     edge = spark.createDataFrame([(1, u, v) for u, v in edges], "skel_id long, u long, v long")
     vert = spark.createDataFrame([(1, i, 10 + i) for i in range(7)], "skel_id long, node_id long, vert_id long")
@@ -187,19 +186,40 @@ def test_bridging_against_all_pairs():
         assert have == want
 
 
-def test_downsample_rules():
-    xyz = np.array([[i, 0, 0.0] for i in range(8)])
-    edges = np.array([[i, i + 1] for i in range(7)])
-    r = np.array([5.0, 1, 1, 1, 3, 3, 3, 3])
+def chain(spark, radii, parents=None):
+    rows = [(1, i, float(i), 0.0, 0.0, float(r), (parents or {}).get(i, i - 1 if i else None)) for i, r in enumerate(radii)]
+    node = spark.createDataFrame(rows, "skel_id long, node_id long, x double, y double, z double, r double, parent_id long")
+    edge = spark.createDataFrame([(1, min(i, p), max(i, p)) for _, i, *_, p in rows if p is not None], "skel_id long, u long, v long")
+    return node, edge
+
+
+def test_downsample_rules(spark):
+    node, edge = chain(spark, [5.0, 1, 1, 1, 3, 3, 3, 3])
+
+    def run(**options):
+        n, e, to = resample.downsample(node, edge, "r", **options)
+        return {r["node_id"]: (r["x"], r["r"]) for r in n.collect()}, {(r["u"], r["v"]) for r in e.collect()}, [r["new_id"] for r in to.orderBy("node_id").collect()]
+
     # the far leaf takes the run beside it, node 0 none
-    points, radii, e, to = tree.downsample(xyz, r, edges)
-    assert to.tolist() == [0, 2, 2, 2, 1, 1, 1, 1] and radii.tolist() == [5.0, 3.0, 1.0] and points[1, 0] == 5.5 and e.tolist() == [[0, 2], [1, 2]]
-    kept = tree.downsample(xyz, r, edges, merge_ends=False)[3]
-    assert len(set(kept.tolist())) == 4 and kept[7] != kept[6]
-    assert tree.downsample(xyz, r, edges, max_shift=0.5)[3][7] != tree.downsample(xyz, r, edges, max_shift=0.5)[3][6]
-    ring = np.array([[0, 1], [2, 3], [3, 4], [2, 4]])
-    assert (tree.downsample(xyz[:5], np.ones(5), ring)[3] >= 0).all()
-    assert tree.like_runs([0, 1, 2, 3], np.array([1.0, 1.04, 1.09, 1.2]), 0.05, 0.0) == [[0, 1], [2], [3]]
+    assert run() == ({0: (0.0, 5.0), 1: (2.0, 1.0), 2: (5.5, 3.0)}, {(0, 1), (1, 2)}, [0, 1, 1, 1, 2, 2, 2, 2])
+    assert run(merge_ends=False)[2] == [0, 1, 1, 1, 2, 2, 2, 3] and run(max_shift=0.5)[2] == [0, 1, 1, 1, 2, 2, 2, 3]
+    assert run(rtol=0.9, how="mean") == ({0: (0.0, 5.0), 1: (4.0, 15 / 7)}, {(0, 1)}, [0] + [1] * 7)
+    assert resample.run_numbers([1.0, 1.04, 1.09, 1.2], 0.05, 0.0) == [0, 0, 1, 2]
+    for how, worth in (("median", 1.0), ("mean", 4 / 3), ("area", 2**0.5)):
+        n, e = chain(spark, [9.0, 1.0, 1.0, 2.0, 9.0])
+        assert abs(resample.downsample(n, e, "r", rtol=0.8, how=how, merge_ends=False)[0].where("node_id = 1").first()["r"] - worth) < 1e-9
+
+
+def test_downsample_slides_branching_nodes(spark):
+    # 0 - 1 - 2 - 3, where 3 branches to 4 - 5 - 6 and to 7 - 8
+    node, edge = chain(spark, [1.0] * 9, {7: 3})
+    n, e, to = resample.downsample(node, edge, "r")
+    assert [r["new_id"] for r in to.orderBy("node_id").collect()] == [0, 1, 1, 1, 1, 1, 2, 1, 3]
+    # of the runs at node 3 the one at its own neighbour 7 comes last
+    at = {r["node_id"]: r["x"] for r in n.collect()}
+    assert at == {0: 0.0, 1: 5.0, 2: 6.0, 3: 8.0} and {(r["u"], r["v"]) for r in e.collect()} == {(0, 1), (1, 2), (1, 3)}
+    kept = resample.downsample(node, edge, "r", slide_branches=False, merge_ends=False)[2]
+    assert [r["new_id"] for r in kept.orderBy("node_id").collect()] == [0, 1, 1, 2, 3, 3, 4, 5, 6]
 
 
 def test_fill_labels_against_a_plain_sweep():
