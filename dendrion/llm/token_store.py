@@ -110,7 +110,8 @@ def write_store(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     share = min(1.0, 8 * TRAIN_DOCS / max(1, n))
     sample = short.where(F.col("h") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))).orderBy("h", "text").limit(TRAIN_DOCS).select("text")
     dictionary = _train(sample, tokenizer_path, end_id)
-    spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
+    # literals: rows given as a list would start Python workers of another kind, which stay beside those of the corpus
+    spark.range(0, 1, 1, 1).select(F.lit(hashlib.sha256(dictionary).hexdigest()).alias("sha256"), F.lit(bytearray(dictionary)).alias("dictionary")).write.parquet(f"{path}/dictionary")
     keys = [*(F.col(c).asc_nulls_first() for c in (*by, "id")), F.col("h").asc()]
     ranged = rows.withColumn("h", mixed).repartitionByRange(max(partitions(spark), -(-held // RANGE_BYTES)), *keys).sortWithinPartitions(*keys).select("id", "text")
     mapped(ranged, _pack(tokenizer_path, end_id, dictionary), _PACK_SQL).write.parquet(f"{path}/packs")

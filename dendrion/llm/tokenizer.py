@@ -8,7 +8,6 @@ white space and no special string; the remaining texts are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import re
@@ -16,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from .common import kept
+
 CACHE_WORDS = 250_000
 #: White space beyond ASCII, separators that Python and the tokenizers class differently, or the start of a special string.
 _UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
@@ -134,7 +135,6 @@ class WordTokenizer:
         return sum(self._known(words, len))
 
 
-@functools.cache
 def tokenizer(path: str, purpose: str) -> WordTokenizer:
     """One tokenizer per worker process and purpose (ids and counts keep different caches)."""
-    return WordTokenizer(path)
+    return kept("tokenizer", (path, purpose), lambda: WordTokenizer(path))

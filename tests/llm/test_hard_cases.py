@@ -1,12 +1,15 @@
 """Hot groups, clashes of hashes, long texts and brute force for the corpus operators and the stages of the pipeline."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from dendrion.llm import bytehash, decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, url_filter
+from dendrion.llm.tokenizer import tokenizer
 
 
 def thue_morse(n):
@@ -33,6 +36,25 @@ def test_word_hashes_do_not_depend_on_company():
     assert len({w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words}) == len(set(alone))
 
 
+def test_a_worker_keeps_what_one_operator_remembers():
+    text = " ".join(f"word{i}" for i in range(30_000)).encode()
+    tracemalloc.start()
+    try:
+        held = [tracemalloc.get_traced_memory()[0]]
+        for key in (b"first run", b"second run"):
+            want = bytehash.word_hashes([text], key)[0].sum()
+            held.append(tracemalloc.get_traced_memory()[0])
+        assert bytehash.word_hashes([text], b"second run")[0].sum() == want
+        one = held[1] - held[0]
+        assert one > 1_000_000 and held[2] - held[0] < 1.2 * one
+        # the tokenizer's own parts, which it loads here, lie outside of what is traced but for a few
+        tok = tokenizer(public_tokenizers.path("word_bpe_49k.json"), "ids")
+        assert tracemalloc.get_traced_memory()[0] - held[0] < 0.7 * one
+        assert tokenizer(public_tokenizers.path("word_bpe_49k.json"), "ids") is tok
+    finally:
+        tracemalloc.stop()
+
+
 def test_near_dedup_of_many_rows_without_id(spark):
     a, b = ("the cat sat on the mat and looked at {} birds in the old garden behind our house near the river".format(x) for x in ("seven", "eight"))
     nulls = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"case when id % 2 = 0 then '{a}' else '{b} once more' end as text")

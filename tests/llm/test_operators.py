@@ -272,6 +272,15 @@ def test_token_store(spark, odd, none, tmp_path):
     assert token_store.round_trip(none, tokenizer_path=WORD).count() == 0
 
 
+def test_token_store_starts_no_workers_for_its_dictionary(spark, tmp_path, monkeypatch):
+    docs, path = frame(spark, [(i, f"{LINE} number {i} " * 5, "a") for i in range(100)]), str(tmp_path / "store")
+    # a list of rows would be unpickled by Python workers of their own
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    token_store.write_store(docs, path, tokenizer_path=WORD)
+    assert len(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]) > 0
+    assert len(token_store.read_document(spark, path, 7)) == 1
+
+
 def test_pipeline_stores_in_training_order(spark):
     import corpus_pipeline
 
