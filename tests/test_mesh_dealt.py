@@ -29,3 +29,20 @@ def test_large_meshes_give_the_same(spark):
     faces, verts = faces.unionByName(other[0]), verts.unionByName(other[1])
     for f in (mesh._corners, mesh._counted_edges):
         assert sorted(mesh.by_mesh(f, faces, verts, 8).collect()) == sorted(f(faces, verts).collect()) == sorted(mesh.by_mesh(f, faces, verts).collect())
+
+
+def test_places_are_dealt_out_before_they_stand_for_cells(spark):
+    from dendrion.operators import surface
+
+    faces, verts = strip(spark, 12)
+    places = verts.select("mesh_id", "vert_id", "x", "y", "z", F.lit(2.0).alias("radius"))
+    geometry = mesh.face_geometry(faces, verts)
+    out = surface.faces_within(places, geometry, 2.0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    near = places.crossJoin(geometry.withColumnRenamed("mesh_id", "m")).where("sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz)) <= radius")
+    assert sorted((r.vert_id, r.face_id) for r in out.collect()) == sorted((r.vert_id, r.face_id) for r in near.collect()) != []
