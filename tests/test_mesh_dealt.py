@@ -18,7 +18,7 @@ def test_corners_and_edges_shuffle_each_table_once(spark):
         try:
             # the vertices' shuffle stands in the plan for each use and is reused
             plan = out._jdf.queryExecution().executedPlan().toString()
-            assert plan.count("Exchange hashpartitioning(mesh_id") == plan.count("Exchange ") and plan.count("REPARTITION_BY_COL") == plan.count("Exchange ")
+            assert plan.count("Exchange hashpartitioning(mesh_id") == plan.count("Exchange ") and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange ")
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
